@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, staged, text_of
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state on disk. Many small stores: no disk is set aside in advance, and a
+#: batch uploads what it changed.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Rows of one group that meet one copy of the text that stays.
 ROWS_PER_SALT = 2_000
 
@@ -46,8 +51,9 @@ def streamed_state(rows: DataFrame, files_per_batch: int = 64) -> DataFrame:
         return spark.createDataFrame([], empty)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(at[0].rpartition("/")[0])
     state = stream.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "file", "row")).alias("stay"))
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -58,7 +64,8 @@ def streamed_state(rows: DataFrame, files_per_batch: int = 64) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     seen = spark.read.schema(state.schema).parquet(f"{out}/batch=*")
     return seen.groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("stay").alias("stay"))
 
