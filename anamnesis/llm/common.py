@@ -74,7 +74,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         current = staged(small.union(m.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
-        state = current.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum("v")).first()
+        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == before:
             break
         before = state
