@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, file, row): rows of files as they are, others written first.
+
+    File and row tell rows apart whatever their columns hold, and are the same
+    each time a task runs.
+    """
+    try:
+        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # no rows of files
+        return located(staged(docs.select("doc_id", "text"), "input"))
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """Enough partitions for ``rows``, at least the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition), 1)

@@ -9,11 +9,10 @@ the executors.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_of
+from .common import fresh_path, located, staged, text_of
 
 #: The state on disk. Many small stores: no disk is set aside in advance, and a
 #: batch uploads what it changed.
@@ -26,15 +25,6 @@ STORE = {
 ROWS_PER_SALT = 2_000
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, file, row): rows of files as they are, others written first."""
-    try:
-        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        written = staged(docs.select("doc_id", "text"), "exact-input")
-        return written.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-
-
 def streamed_state(rows: DataFrame, files_per_batch: int = 64) -> DataFrame:
     """Stream ``rows(digest, doc_id, file, row)`` through the state.
 
@@ -79,7 +69,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     no rows. Should two texts share a digest, the byte check finds it and that
     digest's rows are grouped by the text itself.
     """
-    located = _located(docs)
+    located = located(docs)
     digest = F.sha2(F.encode(text_of(), "UTF-8"), 256)
     slim = staged(located.select(digest.alias("digest"), "doc_id", "file", "row"), "exact-digests")
     state = staged(streamed_state(slim), "exact-groups")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, preference_chat
+from . import exact_dedup, jaccard_join, mixing, preference_chat, repeats
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.Similarity(width=3, num=9, den=10))
 
 
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_exact_dedup, op5_preference_chat, op7_jaccard_join)
+    found = (op2_mix_sources, op3_exact_dedup, op5_preference_chat, op7_jaccard_join, op10_remove_repeats)
     return {f.__name__: f for f in found}
 
 
