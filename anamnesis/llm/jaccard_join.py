@@ -19,8 +19,10 @@ pivots, and regions are joined recursively:
    on both sides, so by the triangle inequality every linked pair that does not
    contain the pivot is inside one part. Parts whose members are one component
    already, or that have one member, are done; the others get new pivots.
-4. What is left after the last round is compared pair by pair, across components
-   only and only where the distances to the last pivot differ by eps at most.
+4. What is left after the last round is compared pair by pair, each pair in one
+   region only, across components only, and only where the distances to the last
+   pivot differ by eps at most and the shingles that only one node has do not
+   already put the two too far apart.
 
 Distances come from the whole sets, so links are exact. A group of thousands of
 near copies costs one comparison per member and round, not one per pair.
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ class Similarity:
     #: Shingles sampled per text beyond its window, in units of the window.
     reach: int = 1
     #: Rounds of document pivots before what is left is compared by pairs.
-    rounds: int = 4
+    rounds: int = 2
 
     def missing(self, n: int) -> int:
         """The most shingles that a set of n can have and a linked set lack."""
@@ -102,25 +104,50 @@ def _fingerprint(row: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63)
 
 
-def _first_regions(sets: DataFrame, how: Similarity) -> DataFrame:
-    """(region, node, n): the windows of all nodes over the rarest pivots.
+def _windows(rows: DataFrame, need: Column, of: Column) -> DataFrame:
+    """The rows (s, node, n) in their node's window, ``rows`` lying together by s.
 
-    A pivot that only one node has needs no region; it still counts as one of
-    that node's rarest. Regions with the same members are one. Rows are dealt
-    out by shingle once; a shingle has one row per node at most, and a node
-    dozens of shingles, so no shingle can hold more than a small part of them.
+    ``need`` of a node's ``of`` shingles make its window, the rarest first. A
+    shingle that one node has needs no region, but counts as one of them.
     """
-    spark = sets.sparkSession
-    rows = sets.select("node", F.col("n_shingles").alias("n"), F.explode("sample").alias("s"))
-    total = sets.agg(F.sum(F.size("sample"))).first()[0] or 0
-    rows = rows.repartition(partitions_for(spark, total, 2_000_000), "s").groupBy("s", "node").agg(F.min("n").alias("n"))
     met = rows.withColumn("f", F.count("*").over(W.partitionBy("s"))).where("f > 1")
-    size = _sizes(how)
     own = W.partitionBy("node")
     met = met.withColumn("rank", F.row_number().over(own.orderBy("f", "s"))).withColumn("met", F.count("*").over(own))
-    chosen = staged(met.where(F.col("rank") <= size("window") - (size("sampled") - F.col("met"))).select("s", "node", "n"), "jaccard-windows")
+    return met.where(F.col("rank") <= need - (of - F.col("met"))).select("s", "node", "n", (of - F.col("met")).alias("own"))
+
+
+def _sampled_windows(sets: DataFrame, how: Similarity) -> DataFrame:
+    """(node, n) of the nodes that share a region, judged by samples.
+
+    Rows are dealt out by shingle once; a shingle has one row per node at most,
+    and a node dozens of shingles, so no shingle holds more than a small part
+    of them.
+    """
+    rows = sets.select("node", F.col("n_shingles").alias("n"), F.explode("sample").alias("s"))
+    total = sets.agg(F.sum(F.size("sample"))).first()[0] or 0
+    rows = rows.repartition(partitions_for(sets.sparkSession, total, 2_000_000), "s").groupBy("s", "node").agg(F.min("n").alias("n"))
+    size = _sizes(how)
+    return _windows(rows, size("window"), size("sampled")).select("node").distinct()
+
+
+def _regions(sets: DataFrame, how: Similarity, turns: int = 2) -> DataFrame:
+    """(region, node, n, own), ``own`` the shingles no other node has: the windows over the rarest pivots, now of whole sets.
+
+    Rarity is counted among the nodes that are left, and again among those that
+    this leaves: what was common among all texts is rare there, and a text with
+    more shingles of its own than a linked one may lack drops out. Regions with
+    the same members are one.
+    """
+    size = _sizes(how)
+    for turn in range(turns):
+        rows = sets.select("node", "n", F.explode("set").alias("s"))
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        rows = rows.repartition(partitions_for(sets.sparkSession, total, 2_000_000), "s")
+        chosen = staged(_windows(rows, size("missing") + 1, F.col("n")), "jaccard-windows")
+        if turn < turns - 1:
+            sets = staged(sets.join(chosen.select("node").distinct(), "node", "left_semi"), "jaccard-left")
     members = chosen.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("m > 1")
-    return chosen.join(members, "s").select(F.xxhash64("m", "x", "y").alias("region"), "node", "n").distinct()
+    return chosen.join(members, "s").select(F.xxhash64("m", "x", "y").alias("region"), "node", "n", "own").distinct()
 
 
 def _sizes(how: Similarity):
@@ -137,6 +164,8 @@ def _sizes(how: Similarity):
         return F.least(how.reach * (missing(x) + 1), least(x))
 
     def get(what: str):
+        if what == "missing":
+            return missing(n)
         sampled = missing(n) + shared(n)
         return sampled if what == "sampled" else sampled - shared(least(n)) + 1
 
@@ -144,39 +173,38 @@ def _sizes(how: Similarity):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
-    """(node, set) of the documents ``wanted(doc_id)``: whole sets, as sorted 64-bit hashes."""
+    """(node, n, set) of the documents ``wanted(doc_id)``: whole sets of 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in pieces(batch, "text"):
                 rows = list(shingles(data, offsets, how.width))
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["node", "set"])
+                size = np.array([len(x) for x in rows])
+                flat = pa.array(np.concatenate(rows).view(np.int64))
+                ends = pa.array(np.concatenate(([0], size.cumsum())), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in rows], pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "n", "set"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
-    return some.mapInArrow(run, "node long, set binary")
+    return some.mapInArrow(run, "node long, n long, set array<long>").where("n > 0").dropDuplicates(["node"])
 
 
 def _distances(tests: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """(node, pivot, d, linked) for the pairs of ``tests``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, against = None, None
         for batch in batches:
             d, linked = [], []
-            pivots, a, b = batch.column("pivot").to_pylist(), batch.column("set"), batch.column("pivot_set")
-            for k, p in enumerate(pivots):
-                if p != last:
-                    last, against = p, np.frombuffer(b[k].as_buffer(), np.uint64)
-                x = np.frombuffer(a[k].as_buffer(), np.uint64)
-                both = np.concatenate((x, against))
-                both.sort(kind="stable")
+            for x, y in zip(batch.column("set"), batch.column("pivot_set"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = np.concatenate((x, y))
+                both.sort()
                 inside = int((both[1:] == both[:-1]).sum())
-                union = len(x) + len(against) - inside
+                union = len(both) - inside
                 d.append(1 - inside / union)
                 linked.append(how.den * inside >= how.num * union)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot"), pa.array(d), pa.array(linked)], ["node", "pivot", "d", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("pivot"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["node", "pivot", "d", "linked"])
 
-    rows = tests.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+    rows = tests.join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
     return rows.select("node", "pivot", "set", "pivot_set").mapInArrow(run, "node long, pivot long, d double, linked boolean")
 
 
@@ -187,12 +215,10 @@ def _near_sizes(a: str, b: str, how: Similarity):
 def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """Edges (a, b) between linked nodes, enough to join every two that any links connect."""
     eps = 1 - how.num / how.den
-    regions = staged(_first_regions(sets, how), "jaccard-regions")
-    wanted = sets.join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = sets.join(_sampled_windows(sets, how), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = staged(_sets_of(docs, wanted.select("doc_id"), how), "jaccard-sets")
+    regions = staged(_regions(sets, how), "jaccard-regions")
     found = None
-    component = None
-    gap = None
     for turn in range(how.rounds):
         if regions.isEmpty():
             break
@@ -206,18 +232,20 @@ def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
         component = components(found, "jaccard")
         here = rest.join(measured, ["node", "pivot"]).join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
         side = F.explode(F.array_compact(F.array(F.when(F.col("d") <= 2 * eps + 1e-9, F.lit(0)), F.when(~F.col("linked"), F.lit(1)))))
-        parts = here.select("region", "node", "n", "c", F.col("d").alias("gap"), side.alias("side"))
-        parts = parts.select(F.xxhash64("region", F.lit(turn), "side").alias("region"), "node", "n", "c", "gap")
+        parts = here.select("region", "node", "n", "own", "c", F.col("d").alias("gap"), side.alias("side"))
+        parts = parts.select(F.xxhash64("region", F.lit(turn), "side").alias("region"), "node", "n", "own", "c", "gap")
         live = parts.groupBy("region").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1 AND low <> high")
         regions = staged(parts.join(live.select("region"), "region", "left_semi"), "jaccard-parts")
-        gap = regions
-        regions = regions.select("region", "node", "n", "gap", "c")
-    if gap is not None and not regions.isEmpty():
-        one, two = (regions.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "gap", "c")], (F.floor(F.col("gap") / eps)).alias(f"band_{s}")) for s in "ab")
-        one = one.withColumn("band", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
-        pairs = one.join(two.withColumnRenamed("band_b", "band"), ["region", "band"]).where("c_a <> c_b AND (band_a < band OR node_a < node_b)")
-        pairs = pairs.where(_near_sizes("n_a", "n_b", how) & (F.abs(F.col("gap_a") - F.col("gap_b")) <= eps + 1e-9))
-        tests = pairs.select(F.col("node_a").alias("node"), F.col("node_b").alias("pivot")).distinct()
+    if found is not None and not regions.isEmpty():
+        cells = regions.groupBy("node").agg(F.collect_set("region").alias("cells"))
+        sides = regions.join(cells, "node")
+        one, two = (sides.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "own", "gap", "c", "cells")]) for s in "ab")
+        may = (F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _near_sizes("n_a", "n_b", how)
+        may &= F.abs(F.col("gap_a") - F.col("gap_b")) <= eps + 1e-9
+        may &= (F.col("own_a") + F.col("own_b")) * (how.den + how.num) <= (F.col("n_a") + F.col("n_b")) * (how.den - how.num)
+        may &= F.array_min(F.array_intersect("cells_a", "cells_b")) == F.col("region_a")
+        pairs = one.withColumnRenamed("region", "region_a").join(two.withColumnRenamed("region", "region_b"), (F.col("region_a") == F.col("region_b")) & may)
+        tests = pairs.select(F.col("node_a").alias("node"), F.col("node_b").alias("pivot"))
         last = _distances(tests, sets, how).where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         found = staged(found.union(last), "jaccard-links")
     if found is None:
