@@ -3,7 +3,8 @@
 Only suffixes that can matter are sorted. Every window of ``length`` bytes holds
 one anchor: the k-gram with the least hash (the leftmost of equal ones), which
 depends on the window's bytes alone, so equal windows have their anchor at the
-same place. Suffixes start at anchors whose k-gram occurs twice or more.
+same place. Suffixes start at anchors whose k-gram occurs twice or more, and
+occurs twice together with half of a window's other bytes on one side.
 
 Each task sorts its suffixes into a run and front-codes it: the length of the
 prefix shared with the suffix before, and the bytes after it; equal suffixes are
@@ -40,7 +41,7 @@ from .textvec import mix, pieces, prefix_sums, span_hash
 LENGTH = 200
 GRAM = 50
 #: Occurrences from which an anchor's windows are counted by grouping.
-FREQUENT = 100_000
+FREQUENT = 200_000
 #: Suffixes that a range of the order holds on average.
 RANGE_ROWS = 60_000
 
@@ -59,40 +60,49 @@ def _sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(values[b] < values[a], b, a)
 
 
-def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, k-gram hash) of the anchors of one text of ``length`` bytes or more."""
+def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(position, k-gram hash, hash to the left, hash to the right) of a text's anchors.
+
+    A window around an anchor reaches half of its other bytes to the left of
+    the k-gram or to the right, so a repeated window has the k-gram with that
+    half repeated; where the text ends before, the hash is 0.
+    """
     sums, inverse = prefix_sums(data)
     start = np.arange(len(data) - gram + 1)
     hashed = span_hash(sums, inverse, start, start + gram)
     at = np.unique(_sliding_first_min(hashed, length - gram + 1))
-    return at, hashed[at]
+    half = (length - gram) // 2
+    left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    can = at >= half
+    left[can] = span_hash(sums, inverse, at[can] - half, at[can] + gram)
+    can = at + gram + half <= len(data)
+    right[can] = mix(span_hash(sums, inverse, at[can], at[can] + gram + half))
+    return at, hashed[at], left, right
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, n_bytes, sha, at, gram): one row per text, anchors as arrays."""
+    """(id, n_bytes, sha, at, gram, left, right): one row per text, anchors as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in pieces(batch, "text"):
-                at, grams, ends, size, sha = [], [], [0], [], []
+                at, ends, size, sha = [], [0], [], []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     text = data[a:b]
                     size.append(len(text))
                     sha.append(hashlib.sha256(text.tobytes()).hexdigest())
                     if len(text) >= length:
-                        x, h = anchors_of(text, length, gram)
-                        at.append(x)
-                        grams.append(h)
-                    ends.append(ends[-1] + (len(at[-1]) if len(text) >= length else 0))
-                at = np.concatenate(at).astype(np.int32) if at else np.empty(0, np.int32)
-                grams = np.concatenate(grams).view(np.int64) if grams else np.empty(0, np.int64)
+                        at.append(anchors_of(text, length, gram))
+                    ends.append(ends[-1] + (len(at[-1][0]) if len(text) >= length else 0))
                 ends = pa.array(ends, pa.int32())
+                flat = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0, np.uint64)] * 4
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32) if k == 0 else x.view(np.int64))) for k, x in enumerate(flat)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, last - first), pa.array(size, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(grams))],
-                    ["id", "n_bytes", "sha", "at", "gram"],
+                    [batch.column("id").slice(first, last - first), pa.array(size, pa.int64()), pa.array(sha), *lists],
+                    ["id", "n_bytes", "sha", "at", "gram", "left", "right"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_bytes long, sha string, at array<int>, gram array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n_bytes long, sha string, at array<int>, gram array<long>, left array<long>, right array<long>")
 
 
 # -- runs: front coding, exchange and merge ---------------------------------
@@ -364,9 +374,13 @@ def _removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(id, start, end) byte spans covered by repeated windows; they may overlap."""
-    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram")).alias("a")).select("id", "a.at", "a.gram")
-    often = each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1")
-    again = each.join(often, "gram").select("id", F.struct("at", "gram", "f").alias("a"))
+    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "left", "right")).alias("a")).select("id", "a.*")
+    often = each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1").select("gram")
+    again = staged(each.join(often, "gram"), "repeats-again")
+    keyed = again.select("id", "at", "gram", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
+    more = keyed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
+    keyed = staged(keyed.join(more, "key").select("id", "at", "gram").distinct(), "repeats-keyed")
+    again = keyed.join(keyed.groupBy("gram").agg(F.count("*").alias("f")), "gram").select("id", F.struct("at", "gram", "f").alias("a"))
     found = staged(again.groupBy("id").agg(F.collect_list("a").alias("anchors")), "repeats-anchors")
     total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
@@ -396,7 +410,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, freq
     # equal texts: one of them stands for all in the sorting
     first = sha.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     unique = first.where("copies = 1").select("id")
-    spans = repeated_spans(rows, sha.join(first.select("id"), "id", "left_semi").select("id", "at", "gram"), length, gram, frequent)
+    spans = repeated_spans(rows, sha.join(first.select("id"), "id", "left_semi").select("id", "at", "gram", "left", "right"), length, gram, frequent)
     spans = spans.join(unique, "id", "left_semi")
     removed = staged(_removed(rows, spans), "repeats-removed")
     copied = first.where("copies > 1").select("sha", F.col("copies"))
