@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, preference_chat, repeats
+from . import decontaminate, exact_dedup, html_text, jaccard_join, mixing, pii, preference_chat, quality, repeats, url_filter
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return rows.withColumn("entities", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["surrogate"])), "|"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +56,10 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_exact_dedup, op5_preference_chat, op7_jaccard_join, op10_remove_repeats)
+    found = (
+        op1_decontaminate, op2_mix_sources, op3_exact_dedup, op4_pii_surrogates, op5_preference_chat,
+        op6_quality, op7_jaccard_join, op8_main_text, op9_url_filter, op10_remove_repeats,
+    )
     return {f.__name__: f for f in found}
 
 
