@@ -3,7 +3,7 @@
 A test item may occur in a text with up to ``budget`` edits (a share of its
 length). It is split into budget + 1 pieces; an occurrence leaves at least one
 piece untouched, so exact piece hits find every candidate. Each candidate is
-verified with Myers' bit-parallel edit distance.
+verified with Myers' bit-parallel edit distance, over growing groups of pieces.
 
 The items come in blocks of bounded size: a block's automaton is all that is sent
 to the tasks, and the documents are read once per block.
@@ -72,19 +72,48 @@ def best_match(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, at
 
 
-def _candidates(hits: list[tuple[int, int]], slack: int, size: int) -> Iterator[tuple[int, int]]:
-    """Merge the hits' windows: (start, end) spans of text that can hold the item."""
-    last = None
-    for start in sorted({h for h, _ in hits}):
-        a, b = start - slack, start + size + slack
-        if last and a <= last[0] + 2 * slack and b - last[0] <= 3 * (size + 2 * slack):
-            last = (last[0], b)
-        else:
-            if last:
-                yield last
-            last = (a, b)
-    if last:
-        yield last
+def groups_of(pieces: int) -> list[list[tuple[int, int]]]:
+    """For each piece the groups of pieces that hold it, from two pieces up to all.
+
+    All pieces are halved, and halved again down to single ones. A group of m
+    pieces may hold m - 1 edits: an occurrence within the budget keeps to that in
+    the whole, hence in at least one half of it, and so on down to a piece
+    without edits. Going up from a hit, the first group that is too far off ends
+    the search, after a look at a few characters.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
+    todo = [(0, pieces)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            for k in range(a, b):
+                out[k].insert(0, (a, b))
+            middle = (a + b) // 2
+            todo += [(a, middle), (middle, b)]
+    return out
+
+
+class Item:
+    """A test item ready to be searched for."""
+
+    def __init__(self, item_id: int, pattern: str, rate: float):
+        self.item_id, self.pattern, self.budget = item_id, pattern, int(len(pattern) * rate)
+        self.pieces = pieces_of(pattern, rate)
+        cuts = [a for a, _ in self.pieces] + [len(pattern)]
+        spans = {g for piece in groups_of(len(self.pieces)) for g in piece}
+        made = {(a, b): (cuts[a], cuts[b] - cuts[a], b - a - 1, masks_of(pattern[cuts[a] : cuts[b]])) for a, b in spans}
+        self.above = [[made[g] for g in piece] for piece in groups_of(len(self.pieces))]
+
+    def match(self, text: str, start: int, piece: int) -> tuple[int, int] | None:
+        """(distance, end) of the item's best occurrence around a hit of ``piece`` that puts its start at ``start``."""
+        found = (0, 0)
+        for offset, size, budget, masks in self.above[piece]:
+            a = max(0, start + offset - budget)
+            found = best_match(masks, size, text[a : start + offset + size + budget])
+            if found[0] > budget:
+                return None
+            found = (found[0], a + found[1])
+        return found if self.above[piece] else (0, start + len(self.pattern))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching()) -> DataFrame:
@@ -113,36 +142,27 @@ def _search(docs: DataFrame, block, how: Matching) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        items = block.value
-        where: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, pattern) in enumerate(items):
-            for offset, piece in pieces_of(pattern, how.rate):
-                where.setdefault(piece, []).append((i, offset))
+        items = [Item(i, p, how.rate) for i, p in block.value]
+        where: dict[str, list[tuple[Item, int, int]]] = {}
+        for item in items:
+            for k, (offset, piece) in enumerate(item.pieces):
+                where.setdefault(piece, []).append((item, k, offset))
         automaton = ahocorasick.Automaton()
         for piece, uses in where.items():
             automaton.add_word(piece, (len(piece), uses))
         automaton.make_automaton()
-        masks: dict[int, dict[str, int]] = {}
         for batch in batches:
             out: list[tuple] = []
             if items:
                 for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     text = normalised(raw.as_py())
-                    hits: dict[int, list[tuple[int, int]]] = {}
+                    best: dict[int, tuple[int, int, int]] = {}
                     for end, (size, uses) in automaton.iter(text):
-                        for i, offset in uses:
-                            hits.setdefault(i, []).append((end + 1 - size - offset, offset))
-                    for i, found in hits.items():
-                        item_id, pattern = items[i]
-                        budget = int(len(pattern) * how.rate)
-                        own = masks.setdefault(i, masks_of(pattern))
-                        best = (budget + 1, 0)
-                        for a, b in _candidates(found, budget, len(pattern)):
-                            a = max(a, 0)
-                            d, end = best_match(own, len(pattern), text[a:b])
-                            best = min(best, (d, a + end))
-                        if best[0] <= budget:
-                            out.append((doc_id, item_id, best[0], max(0, best[1] - len(pattern)), best[1]))
+                        for item, k, offset in uses:
+                            found = item.match(text, end + 1 - size - offset, k)
+                            if found and (item.item_id not in best or found < best[item.item_id]):
+                                best[item.item_id] = (*found, len(item.pattern))
+                    out += [(doc_id, i, d, max(0, end - size), end) for i, (d, end, size) in best.items()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 5, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
