@@ -20,7 +20,7 @@ length - j bytes to the right, and both are prefix groups of a sorted order, so
 repeated windows come from counting equal pairs of group numbers. Nothing is
 decided by hashes, except in the way for very frequent anchors.
 
-An anchor that occurs more often than ``frequent`` is not gathered in one task:
+An anchor with more than ``frequent`` different surroundings is not gathered in one task:
 each of its windows is keyed by a 128-bit hash and the keys are counted by
 grouping, which spreads over all tasks and sums before the shuffle.
 """
@@ -40,7 +40,7 @@ from .textvec import mix, pieces, prefix_sums, span_hash
 
 LENGTH = 200
 GRAM = 50
-#: Occurrences from which an anchor's windows are counted by grouping.
+#: Different surroundings from which an anchor's windows are counted by grouping.
 FREQUENT = 200_000
 #: Suffixes that a range of the order holds on average.
 RANGE_ROWS = 60_000
@@ -380,7 +380,9 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gr
     keyed = again.select("id", "at", "gram", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
     more = keyed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
     keyed = staged(keyed.join(more, "key").select("id", "at", "gram").distinct(), "repeats-keyed")
-    again = keyed.join(keyed.groupBy("gram").agg(F.count("*").alias("f")), "gram").select("id", F.struct("at", "gram", "f").alias("a"))
+    # equal surroundings are one entry of a run, so only different ones make an anchor frequent
+    differing = again.select("gram", "left", "right").distinct().groupBy("gram").agg(F.count("*").alias("f"))
+    again = keyed.join(differing, "gram").select("id", F.struct("at", "gram", "f").alias("a"))
     found = staged(again.groupBy("id").agg(F.collect_list("a").alias("anchors")), "repeats-anchors")
     total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
