@@ -69,14 +69,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     no rows. Should two texts share a digest, the byte check finds it and that
     digest's rows are grouped by the text itself.
     """
-    located = located(docs)
+    rows = located(docs)
     digest = F.sha2(F.encode(text_of(), "UTF-8"), 256)
-    slim = staged(located.select(digest.alias("digest"), "doc_id", "file", "row"), "exact-digests")
+    slim = staged(rows.select(digest.alias("digest"), "doc_id", "file", "row"), "exact-digests")
     state = staged(streamed_state(slim), "exact-groups")
 
     hits = state.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / ROWS_PER_SALT))
     place = slim.join(hits, "digest").select("digest", "file", "row", "stay", F.pmod(F.xxhash64("file", "row"), F.col("salts")).alias("salt"), "salts")
-    placed = place.join(located.select("file", "row", text_of().alias("text")), ["file", "row"])
+    placed = place.join(rows.select("file", "row", text_of().alias("text")), ["file", "row"])
     stays = placed.where((F.col("file") == F.col("stay.file")) & (F.col("row") == F.col("stay.row")))
     stays = stays.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("stay_text"))
     differ = staged(placed.join(stays, ["digest", "salt"]).where("text <> stay_text").select("digest").distinct(), "exact-differ")
@@ -86,7 +86,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     out = ("doc_id", F.col("stay.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), "file", "row")
     if differ.isEmpty():
         return found.select(*out)
-    odd = located.withColumn("digest", digest).join(differ, "digest", "left_semi").withColumn("text", text_of())
+    odd = rows.withColumn("digest", digest).join(differ, "digest", "left_semi").withColumn("text", text_of())
     groups = odd.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "file", "row")).alias("stay"))
     return found.join(differ, "digest", "left_anti").select(*out).unionByName(odd.join(groups, ["digest", "text"]).select(*out))
 
