@@ -21,8 +21,10 @@ pivots, and regions are joined recursively:
    already, or that have one member, are done; the others get new pivots.
 4. What is left after the last round is compared pair by pair, each pair in one
    region only, across components only, and only where the distances to the last
-   pivot differ by eps at most and the shingles that only one node has do not
-   already put the two too far apart.
+   pivot differ by eps at most and neither the shingles that only one node has
+   nor the two parity sketches put the two too far apart. A sketch is one bit
+   for each slot that shingles hash to, whether an odd number of them do: two
+   sketches differ in |x delta y| bits at most, so no link is lost.
 
 Distances come from the whole sets, so links are exact. A group of thousands of
 near copies costs one comparison per member and round, not one per pair.
@@ -43,6 +45,9 @@ from pyspark.sql import functions as F
 from .common import components, partitions_for, staged
 from .textvec import pieces, shingles
 
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -172,8 +177,20 @@ def _sizes(how: Similarity):
     return get
 
 
+def _sketch(row: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each slot, as signed words."""
+    odd = np.bincount((row % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _too_far(how: Similarity) -> Column:
+    """Whether the sketches of a and b differ in more bits than linked sets can."""
+    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return bits * (how.den + how.num) > (F.col("n_a") + F.col("n_b")) * (how.den - how.num)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
-    """(node, n, set) of the documents ``wanted(doc_id)``: whole sets of 64-bit hashes."""
+    """(node, n, set, sketch) of the documents ``wanted(doc_id)``: whole sets of 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +199,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
                 size = np.array([len(x) for x in rows])
                 flat = pa.array(np.concatenate(rows).view(np.int64))
                 ends = pa.array(np.concatenate(([0], size.cumsum())), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in rows], pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "n", "set"])
+                sketch = pa.array([_sketch(x) for x in rows], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in rows], pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, flat), sketch], ["node", "n", "set", "sketch"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
-    return some.mapInArrow(run, "node long, n long, set array<long>").where("n > 0").dropDuplicates(["node"])
+    return some.mapInArrow(run, "node long, n long, set array<long>, sketch array<long>").where("n > 0").dropDuplicates(["node"])
 
 
 def _distances(tests: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
@@ -238,11 +256,12 @@ def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
         regions = staged(parts.join(live.select("region"), "region", "left_semi"), "jaccard-parts")
     if found is not None and not regions.isEmpty():
         cells = regions.groupBy("node").agg(F.collect_set("region").alias("cells"))
-        sides = regions.join(cells, "node")
-        one, two = (sides.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "own", "gap", "c", "cells")]) for s in "ab")
+        sides = regions.join(cells, "node").join(sets.select("node", "sketch"), "node")
+        one, two = (sides.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "own", "gap", "c", "cells", "sketch")]) for s in "ab")
         may = (F.col("c_a") != F.col("c_b")) & (F.col("node_a") < F.col("node_b")) & _near_sizes("n_a", "n_b", how)
         may &= F.abs(F.col("gap_a") - F.col("gap_b")) <= eps + 1e-9
         may &= (F.col("own_a") + F.col("own_b")) * (how.den + how.num) <= (F.col("n_a") + F.col("n_b")) * (how.den - how.num)
+        may &= ~_too_far(how)
         may &= F.array_min(F.array_intersect("cells_a", "cells_b")) == F.col("region_a")
         pairs = one.withColumnRenamed("region", "region_a").join(two.withColumnRenamed("region", "region_b"), (F.col("region_a") == F.col("region_b")) & may)
         tests = pairs.select(F.col("node_a").alias("node"), F.col("node_b").alias("pivot"))
