@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from anamnesis.llm.jaccard_join import Similarity, jaccard_components
+from anamnesis.llm.jaccard_join import Similarity, _sketch, jaccard_components
 
 
 def brute(rows, how):
@@ -60,3 +61,14 @@ def test_empty_and_repeated_rows(spark):
     text = "a b c d e f g"
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in jaccard_components(rows).collect()))) == ["(1, 3, 1)", "(1, 3, 1)", "(2, 3, 1)", "(None, 3, None)"]
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(7)
+    for n, extra in ((1, 0), (1, 1), (90, 4), (300, 40), (5000, 900)):
+        pool = np.unique(rng.integers(0, 2**64, n + extra, np.uint64))
+        x, y = np.sort(rng.permutation(pool)[:n]), np.sort(rng.permutation(pool)[:n])
+        apart = len(np.setxor1d(x, y))
+        bits = sum(int(w).bit_count() for w in (_sketch(x) ^ _sketch(y)).view(np.uint64))
+        assert bits <= apart and bits % 2 == apart % 2
+        assert not (_sketch(x) ^ _sketch(x)).any()
