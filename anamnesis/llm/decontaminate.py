@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -116,7 +117,7 @@ class Item:
         return found if self.above[piece] else (0, start + len(self.pattern))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching()) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best occurrence of each item in each text holding it.
 
     Texts and items are compared in normalised form (``normalised``), whole
@@ -124,6 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching()) ->
     ``distance`` is at most the item's budget. Null and empty texts hold nothing;
     null items and items shorter than ``least_chars`` are not searched for. Of
     equal occurrences the first counts. Rows repeat where documents or items do.
+    ``carry`` names columns of the documents to keep.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
@@ -133,12 +135,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching()) ->
         # a block has about how.block items, whatever the size of the benchmark
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         block = [(r["item_id"], p) for r in rows if len(p := normalised(r["text"])) >= how.least_chars]
-        found = _search(docs, spark.sparkContext.broadcast(block), how)
+        found = _search(docs, spark.sparkContext.broadcast(block), how, carry)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, block, how: Matching) -> DataFrame:
+def _search(docs: DataFrame, block, how: Matching, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -153,8 +155,9 @@ def _search(docs: DataFrame, block, how: Matching) -> DataFrame:
         automaton.make_automaton()
         for batch in batches:
             out: list[tuple] = []
+            rows: list[int] = []
             if items:
-                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for row, (doc_id, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                     text = normalised(raw.as_py())
                     best: dict[int, tuple[int, int, int]] = {}
                     for end, (size, uses) in automaton.iter(text):
@@ -163,13 +166,17 @@ def _search(docs: DataFrame, block, how: Matching) -> DataFrame:
                             if found and (item.item_id not in best or found < best[item.item_id]):
                                 best[item.item_id] = (*found, len(item.pattern))
                     out += [(doc_id, i, d, max(0, end - size), end) for i, (d, end, size) in best.items()]
+                    rows += [row] * len(best)
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 5, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
+            kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carry]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], *kept], ["doc_id", "item_id", "distance", "start", "end", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+    own = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "item_id", "distance", "start", "end")])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, T.StructType(own.fields + docs.select(*carry).schema.fields))
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no benchmark item occurs."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+    """The documents in which no benchmark item occurs, each row judged by itself."""
+    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    found = leaks(where, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("_file", "_row")).select("_file", "_row").distinct()
+    return where.join(found, ["_file", "_row"], "left_anti").select(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, partitions_for, staged
+from .common import components, located, partitions_for, staged
 from .textvec import pieces, shingles
 
 #: 64-bit words of a set's parity sketch.
@@ -78,7 +78,7 @@ class Similarity:
 
 
 def shingle_sets(docs: DataFrame, how: Similarity) -> DataFrame:
-    """(doc_id, n_shingles, node, sample): the set's size, fingerprint and its lowest hashes.
+    """(doc_id, n_shingles, node, sample, id): the set's size, fingerprint and its lowest hashes.
 
     Hashes of the sample are cut to 40 bits; two shingles that then look alike
     only put texts into one region that need not share it.
@@ -98,11 +98,12 @@ def shingle_sets(docs: DataFrame, how: Similarity) -> DataFrame:
                     [
                         batch.column("doc_id").slice(first, last - first).cast(pa.int64()), pa.array(size, pa.int64()),
                         pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                        batch.column("id").slice(first, last - first),
                     ],
-                    ["doc_id", "n_shingles", "node", "sample"],
+                    ["doc_id", "n_shingles", "node", "sample", "id"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sample array<long>")
+    return docs.select("doc_id", "text", "id").mapInArrow(run, "doc_id long, n_shingles long, node long, sample array<long>, id long")
 
 
 def _fingerprint(row: np.ndarray) -> int:
@@ -190,7 +191,7 @@ def _too_far(how: Similarity) -> Column:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
-    """(node, n, set, sketch) of the documents ``wanted(doc_id)``: whole sets of 64-bit hashes."""
+    """(node, n, set, sketch) of the documents ``wanted(id)``: whole sets of 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +203,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
                 sketch = pa.array([_sketch(x) for x in rows], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in rows], pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, flat), sketch], ["node", "n", "set", "sketch"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").select("text")
+    some = docs.select("id", "text").join(wanted, "id", "left_semi").select("text")
     return some.mapInArrow(run, "node long, n long, set array<long>, sketch array<long>").where("n > 0").dropDuplicates(["node"])
 
 
@@ -233,8 +234,8 @@ def _near_sizes(a: str, b: str, how: Similarity):
 def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """Edges (a, b) between linked nodes, enough to join every two that any links connect."""
     eps = 1 - how.num / how.den
-    wanted = sets.join(_sampled_windows(sets, how), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = staged(_sets_of(docs, wanted.select("doc_id"), how), "jaccard-sets")
+    wanted = sets.join(_sampled_windows(sets, how), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    sets = staged(_sets_of(docs, wanted.select("id"), how), "jaccard-sets")
     regions = staged(_regions(sets, how), "jaccard-regions")
     found = None
     for turn in range(how.rounds):
@@ -281,21 +282,35 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity()) -> DataF
     link when their sets' similarity is ``num / den`` or more; a component's id
     is the smallest doc_id that links reach. Documents with equal sets are
     linked. Repeated rows count as rows of their own with one result; rows with
-    a null doc_id keep a null component id. An empty table gives no rows.
+    a null doc_id link like others, but keep a null component id. An empty table
+    gives no rows.
     """
+    return _judged(_identified(located(docs)), how).select("doc_id", "n_shingles", "component_id")
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    """``rows(file, row)`` with an ``id`` that tells them apart."""
+    return rows.withColumn("id", F.xxhash64("file", "row")).drop("file", "row")
+
+
+def _judged(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(id, doc_id, n_shingles, component_id, stays) of ``docs(doc_id, text, id)``; one row of each component stays."""
     sets = staged(shingle_sets(docs, how), "jaccard-samples")
-    known = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    known = sets.where("n_shingles > 0")
     component = components(links(docs, known, how), "jaccard-all")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least")).join(component, "node", "left")
-    nodes = staged(nodes.select("node", "least", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
-    ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(ids, "component").select(F.col("node").alias("of"), "component_id")
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "id")).alias("first")
+    nodes = known.groupBy("node").agg(first).join(component, "node", "left")
+    nodes = staged(nodes.select("node", "first", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
+    ids = nodes.groupBy("component").agg(F.min("first").alias("first"))
+    named = nodes.select("node", "component").join(ids, "component").select(F.col("node").alias("of"), F.col("first.doc_id").alias("component_id"), F.col("first.id").alias("stay"))
+    rows = sets.select("id", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     rows = rows.join(named, F.col("node") == F.col("of"), "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("id", "doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("id") == F.col("stay"), F.lit(True)).alias("stays"))
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose doc_id is the component's."""
-    stay = jaccard_components(docs).where("component_id = doc_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """One row of each component stays, of the least doc_id; rows without shingles all stay."""
+    where = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_id"))
+    gone = _judged(_identified(located(docs)), Similarity()).where("NOT stays").select(F.col("id").alias("_id"))
+    return where.join(gone, "_id", "left_anti").select(*docs.columns)

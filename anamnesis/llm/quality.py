@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import LOWER, SPACE, mix, pieces, prefix_sums, span_hash, words
 
@@ -179,8 +180,8 @@ def _unpacked(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, keep_from: float = KEEP_FROM) -> DataFrame:
-    """(doc_id, posterior, score, keep), one row per document.
+def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, keep_from: float = KEEP_FROM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, posterior, score, keep), one row per document, then the columns ``carry``.
 
     ``posterior`` is the label model's belief that the document is good,
     ``score`` the linear scorer's; ``keep`` is score >= ``keep_from``. Vote
@@ -217,14 +218,16 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, keep
                 score = np.array([w[i] @ v + w[-1] for i, v in hashed(m, word, bounds, bits)])
                 score = np.where(np.diff(bounds) > 0, 1 / (1 + np.exp(-np.clip(score, -30, 30))), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first).cast(pa.int64()), pa.array([belief.get(int(x), share) for x in pattern], pa.float64()), pa.array(score, pa.float64()), pa.array(score >= keep_from)],
-                    ["doc_id", "posterior", "score", "keep"],
+                    [batch.column("doc_id").slice(first, last - first).cast(pa.int64()), pa.array([belief.get(int(x), share) for x in pattern], pa.float64()), pa.array(score, pa.float64()), pa.array(score >= keep_from), *[batch.column(c).slice(first, last - first) for c in carry]],
+                    ["doc_id", "posterior", "score", "keep", *carry],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, posterior double, score double, keep boolean")
+    own = T.StructType().add("doc_id", "long").add("posterior", "double").add("score", "double").add("keep", "boolean")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, T.StructType(own.fields + docs.select(*carry).schema.fields))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the scorer keeps."""
-    rejected = scored(docs).where("NOT keep").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that the scorer keeps, each row judged by itself."""
+    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rejected = scored(where, carry=("_file", "_row")).where("NOT keep").select("_file", "_row")
+    return where.join(rejected, ["_file", "_row"], "left_anti").select(*docs.columns)
