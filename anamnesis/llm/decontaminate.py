@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OTHER = re.compile(r"[\W_]+")
+#: Letters of scripts written without spaces, beside which a word may begin or end anywhere.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass(frozen=True)
 class Matching:
     #: Edits allowed, as a share of the item's normalised length.
     rate: float = 0.1
-    #: Items whose normalised text is shorter are not searched for.
+    #: Items whose normalised text is shorter must be found as whole words.
     least_chars: int = 32
     #: Items per block.
     block: int = 20_000
@@ -73,6 +75,31 @@ def best_match(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, at
 
 
+def _parted(text: str, at: int) -> bool:
+    """Whether a word may begin or end at ``at``."""
+    return at in (0, len(text)) or " " in text[at - 1 : at + 1] or bool(_SPACELESS.search(text[at - 1 : at + 1]))
+
+
+def worded_match(pattern: str, budget: int, text: str, start: int) -> tuple[int, int, int] | None:
+    """(distance, end, start) of the best occurrence of whole words that starts within ``budget`` of ``start``.
+
+    The edit table is filled from every place where a word begins; for patterns
+    of a few words.
+    """
+    best = None
+    for a in range(max(0, start - budget), min(len(text), start + budget + 1)):
+        if text[a] == " " or not _parted(text, a):
+            continue
+        column = list(range(len(pattern) + 1))
+        for e, c in enumerate(text[a : a + len(pattern) + budget], a + 1):
+            above, column = column, [e - a]
+            for j, x in enumerate(pattern):
+                column.append(min(above[j] + (x != c), above[j + 1] + 1, column[j] + 1))
+            if column[-1] <= budget and c != " " and _parted(text, e) and (best is None or (column[-1], e, a) < best):
+                best = (column[-1], e, a)
+    return best
+
+
 def groups_of(pieces: int) -> list[list[tuple[int, int]]]:
     """For each piece the groups of pieces that hold it, from two pieces up to all.
 
@@ -97,7 +124,8 @@ def groups_of(pieces: int) -> list[list[tuple[int, int]]]:
 class Item:
     """A test item ready to be searched for."""
 
-    def __init__(self, item_id: int, pattern: str, rate: float):
+    def __init__(self, item_id: int, pattern: str, rate: float, worded: bool = False):
+        self.worded = worded
         self.item_id, self.pattern, self.budget = item_id, pattern, int(len(pattern) * rate)
         self.pieces = pieces_of(pattern, rate)
         cuts = [a for a, _ in self.pieces] + [len(pattern)]
@@ -105,8 +133,8 @@ class Item:
         made = {(a, b): (cuts[a], cuts[b] - cuts[a], b - a - 1, masks_of(pattern[cuts[a] : cuts[b]])) for a, b in spans}
         self.above = [[made[g] for g in piece] for piece in groups_of(len(self.pieces))]
 
-    def match(self, text: str, start: int, piece: int) -> tuple[int, int] | None:
-        """(distance, end) of the item's best occurrence around a hit of ``piece`` that puts its start at ``start``."""
+    def match(self, text: str, start: int, piece: int) -> tuple[int, int, int] | None:
+        """(distance, end, start) of the item's best occurrence around a hit of ``piece`` that puts its start at ``start``."""
         found = (0, 0)
         for offset, size, budget, masks in self.above[piece]:
             a = max(0, start + offset - budget)
@@ -114,7 +142,10 @@ class Item:
             if found[0] > budget:
                 return None
             found = (found[0], a + found[1])
-        return found if self.above[piece] else (0, start + len(self.pattern))
+        if self.worded:
+            return worded_match(self.pattern, self.budget, text, start)
+        distance, end = found if self.above[piece] else (0, start + len(self.pattern))
+        return distance, end, max(0, end - len(self.pattern))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -123,9 +154,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), car
     Texts and items are compared in normalised form (``normalised``), whole
     texts always; ``start`` and ``end`` count characters of that form, and
     ``distance`` is at most the item's budget. Null and empty texts hold nothing;
-    null items and items shorter than ``least_chars`` are not searched for. Of
-    equal occurrences the first counts. Rows repeat where documents or items do.
-    ``carry`` names columns of the documents to keep.
+    null items and items without letters and digits are not searched for, and items
+    shorter than ``least_chars`` occur only as whole words. Of equal occurrences
+    the first counts. Rows repeat where documents or items do. ``carry`` names
+    columns of the documents to keep.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
@@ -134,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), car
     for k in range(blocks):
         # a block has about how.block items, whatever the size of the benchmark
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = [(r["item_id"], p) for r in rows if len(p := normalised(r["text"])) >= how.least_chars]
+        block = [(r["item_id"], p) for r in rows if (p := normalised(r["text"]))]
         found = _search(docs, spark.sparkContext.broadcast(block), how, carry)
         out = found if out is None else out.unionByName(found)
     return out
@@ -144,11 +176,11 @@ def _search(docs: DataFrame, block, how: Matching, carry: tuple[str, ...]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        items = [Item(i, p, how.rate) for i, p in block.value]
-        where: dict[str, list[tuple[Item, int, int]]] = {}
-        for item in items:
+        items = [Item(i, p, how.rate, len(p) < how.least_chars) for i, p in block.value]
+        where: dict[str, list[tuple[int, int, int]]] = {}
+        for place, item in enumerate(items):
             for k, (offset, piece) in enumerate(item.pieces):
-                where.setdefault(piece, []).append((item, k, offset))
+                where.setdefault(piece, []).append((place, k, offset))
         automaton = ahocorasick.Automaton()
         for piece, uses in where.items():
             automaton.add_word(piece, (len(piece), uses))
@@ -161,11 +193,11 @@ def _search(docs: DataFrame, block, how: Matching, carry: tuple[str, ...]) -> Da
                     text = normalised(raw.as_py())
                     best: dict[int, tuple[int, int, int]] = {}
                     for end, (size, uses) in automaton.iter(text):
-                        for item, k, offset in uses:
-                            found = item.match(text, end + 1 - size - offset, k)
-                            if found and (item.item_id not in best or found < best[item.item_id]):
-                                best[item.item_id] = (*found, len(item.pattern))
-                    out += [(doc_id, i, d, max(0, end - size), end) for i, (d, end, size) in best.items()]
+                        for place, k, offset in uses:
+                            found = items[place].match(text, end + 1 - size - offset, k)
+                            if found and (place not in best or found < best[place]):
+                                best[place] = found
+                    out += [(doc_id, items[place].item_id, d, start, end) for place, (d, end, start) in best.items()]
                     rows += [row] * len(best)
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carry]
