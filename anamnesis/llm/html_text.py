@@ -23,6 +23,16 @@ RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 SECTIONING = {"nav", "aside", "footer", "header", "form", "menu", "dialog", "button", "select", "fieldset"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+# Start tags whose end tag may be left out: (elements that they close, elements beyond which they close nothing).
+_CELLS, _ROWS = {"td", "th"}, {"tbody", "thead", "tfoot"}
+_ITEM_BOUNDS = CLOSES_P - {"p", "div", "address"} | _CELLS | {"caption", "menu", "select", "button", "dialog", "details", "figure"}
+IMPLIED = (
+    {"li": ({"li"}, _ITEM_BOUNDS | {"dt", "dd"}), "tr": (_CELLS | {"tr", "caption"}, _ROWS | {"table"})}
+    | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, _ITEM_BOUNDS | {"li"}))
+    | dict.fromkeys(_CELLS, (_CELLS, {"tr", "table"} | _ROWS))
+    | dict.fromkeys(_ROWS, (_CELLS | _ROWS | {"tr", "caption", "colgroup"}, {"table"}))
+    | {"option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+)
 AWAY = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus follow foot footer form gdpr head header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 MAIN = "article body content entry main page post story text".split()
 _AWAY, _MAIN = set(AWAY), set(MAIN)
@@ -104,8 +114,8 @@ def parsed(page: str) -> Node:
             if tag in CLOSES_P and here.tag == "p":
                 here = here.parent
                 inline.clear()
-            if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and here.tag == tag:
-                here = here.parent
+            if tag in IMPLIED and (ended := _ended(here, *IMPLIED[tag])):
+                here = ended.parent
                 inline.clear()
             node = Node(tag, here, _words(found[3]))
             if tag not in VOID and not found[3].endswith("/"):
@@ -113,6 +123,16 @@ def parsed(page: str) -> Node:
     return root
 
 
+def _ended(here: Node, closes: set[str], bounds: set[str]) -> Node | None:
+    """The outermost open element of ``closes`` within the next of ``bounds``."""
+    found = None
+    while here.parent and here.tag not in bounds:
+        if here.tag in closes:
+            found = here
+        here = here.parent
+    return found
+
+
 def _words(attributes: str) -> frozenset[str]:
     if not attributes or attributes.isspace():
         return frozenset()
@@ -173,24 +193,27 @@ def decoded(nodes: list[Node], score: np.ndarray) -> set[int]:
 def text_from(root: Node, kept: set[int]) -> str:
     blocks: list[str] = []
 
-    def put(node: Node) -> None:
-        line: list[str] = []
-        for part in node.parts:
-            if isinstance(part, str):
-                line.append(part)
-            else:
-                close(line)
-                if id(part) in kept:
-                    put(part)
-        close(line)
-
     def close(line: list[str]) -> None:
         block = _SPACE.sub(" ", "".join(line)).strip()
         if block:
             blocks.append(block)
         line.clear()
 
-    put(root)
+    # a stack of our own: pages may nest deeper than calls can
+    todo: list[tuple[Iterator, list[str]]] = [(iter(root.parts), [])]
+    while todo:
+        parts, line = todo[-1]
+        for part in parts:
+            if isinstance(part, str):
+                line.append(part)
+                continue
+            close(line)
+            if id(part) in kept:
+                todo.append((iter(part.parts), []))
+                break
+        else:
+            close(line)
+            todo.pop()
     return "\n".join(blocks)
 
 
