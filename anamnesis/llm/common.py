@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame, collect: bool = False) -> None:
+    """Delete the files of staged tables that nothing reads any more.
+
+    With ``collect`` the driver also collects its garbage, so that Spark's cleaner
+    removes the shuffle files of plans that only served to write staged tables;
+    else they stay on the executors' disks until the driver happens to collect.
+    """
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.__dict__.get("staged_at")
+        if path:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if collect:
+        gc.collect()
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +76,33 @@ def located(docs: DataFrame) -> DataFrame:
     File and row tell rows apart whatever their columns hold, and are the same
     each time a task runs.
     """
+    rows, file, row = placed(docs)
+    return rows.select("doc_id", "text", F.col(file).alias("file"), F.col(row).alias("row"))
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores after it as it takes to be no column's name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with each row's file and row number in two more columns, and these columns' names.
+
+    For tables of any columns, one named _metadata too; rows that are not those of
+    files as they are get written first.
+    """
+    file, row = free_names(docs.columns, "_file", "_row")
     try:
-        return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:  # no rows of files
-        return located(staged(docs.select("doc_id", "text"), "input"))
+        meta = docs.metadataColumn("_metadata")
+        return docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(row)), file, row
+    except AnalysisException:
+        return placed(staged(docs, "input"))
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
@@ -75,7 +118,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     Nodes without edges are not listed.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current = staged(both, f"{name}-edges")
+    current = previous = staged(both, f"{name}-edges")
     before = None
     while True:
         # large star: every larger neighbour of u (and u) is tied to u's least neighbour
@@ -88,9 +131,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         current = staged(small.union(m.select("u", F.col("m").alias("v"))).distinct(), f"{name}-stars")
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        discard(previous)
         if state == before:
             break
-        before = state
+        before, previous = state, current
     return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         current.groupBy(F.col("v").alias("node")).agg(F.min("v").alias("component"))
     ).groupBy("node").agg(F.min("component").alias("component"))

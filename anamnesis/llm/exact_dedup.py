@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, located, staged, text_of
+from .common import fresh_path, located, placed, staged, text_of
 
 #: The state on disk. Many small stores: no disk is set aside in advance, and a
 #: batch uploads what it changed.
@@ -69,7 +69,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     no rows. Should two texts share a digest, the byte check finds it and that
     digest's rows are grouped by the text itself.
     """
-    rows = located(docs)
+    return _grouped(located(docs))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
     digest = F.sha2(F.encode(text_of(), "UTF-8"), 256)
     slim = staged(rows.select(digest.alias("digest"), "doc_id", "file", "row"), "exact-digests")
     state = staged(streamed_state(slim), "exact-groups")
@@ -92,7 +95,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    kept = exact_groups(docs).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return where.join(kept, ["_file", "_row"], "left_semi").select(*docs.columns)
+    """The documents that stay, with all their columns, whatever their names.
+
+    One row of each text stays, null counting as empty: that of the largest doc_id
+    (null is the smallest), of its repeats the last by file and row.
+    """
+    where, *place = placed(docs)
+    rows = where.select("doc_id", "text", F.col(place[0]).alias("file"), F.col(place[1]).alias("row"))
+    kept = _grouped(rows).where("kept").select(F.col("file").alias(place[0]), F.col("row").alias(place[1]))
+    return where.join(kept, place, "left_semi").drop(*place)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, located, partitions_for, staged
+from .common import components, discard, free_names, located, partitions_for, placed, staged
 from .textvec import pieces, shingles
 
 #: 64-bit words of a set's parity sketch.
@@ -81,7 +81,7 @@ def shingle_sets(docs: DataFrame, how: Similarity) -> DataFrame:
     """(doc_id, n_shingles, node, sample, id): the set's size, fingerprint and its lowest hashes.
 
     Hashes of the sample are cut to 40 bits; two shingles that then look alike
-    only put texts into one region that need not share it.
+    only put texts into one region that need not share it, and count as one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +110,17 @@ def _fingerprint(row: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63)
 
 
-def _windows(rows: DataFrame, need: Column, of: Column) -> DataFrame:
-    """The rows (s, node, n) in their node's window, ``rows`` lying together by s.
+def _windows(rows: DataFrame) -> DataFrame:
+    """The rows (s, node, slack, ..) in their node's window with ``met``, ``rows`` lying together by s.
 
-    ``need`` of a node's ``of`` shingles make its window, the rarest first. A
-    shingle that one node has needs no region, but counts as one of them.
+    Some of a node's shingles make its window, the rarest first; ``slack`` is
+    their number less that of all its shingles in ``rows``. A shingle that one
+    node has needs no region, but counts as one of them; ``met`` counts the rest.
     """
     met = rows.withColumn("f", F.count("*").over(W.partitionBy("s"))).where("f > 1")
     own = W.partitionBy("node")
     met = met.withColumn("rank", F.row_number().over(own.orderBy("f", "s"))).withColumn("met", F.count("*").over(own))
-    return met.where(F.col("rank") <= need - (of - F.col("met"))).select("s", "node", "n", (of - F.col("met")).alias("own"))
+    return met.where(F.col("rank") <= F.col("slack") + F.col("met")).drop("f", "rank", "slack")
 
 
 def _sampled_windows(sets: DataFrame, how: Similarity) -> DataFrame:
@@ -129,11 +130,12 @@ def _sampled_windows(sets: DataFrame, how: Similarity) -> DataFrame:
     and a node dozens of shingles, so no shingle holds more than a small part
     of them.
     """
-    rows = sets.select("node", F.col("n_shingles").alias("n"), F.explode("sample").alias("s"))
+    sets = sets.select("node", F.col("n_shingles").alias("n"), F.array_distinct("sample").alias("sample"))
+    slack = (_sizes(how)("window") - F.size("sample")).cast("int")
     total = sets.agg(F.sum(F.size("sample"))).first()[0] or 0
-    rows = rows.repartition(partitions_for(sets.sparkSession, total, 2_000_000), "s").groupBy("s", "node").agg(F.min("n").alias("n"))
-    size = _sizes(how)
-    return _windows(rows, size("window"), size("sampled")).select("node").distinct()
+    rows = sets.select("node", slack.alias("slack"), F.explode("sample").alias("s"))
+    rows = rows.repartition(partitions_for(sets.sparkSession, total, 2_000_000), "s").groupBy("s", "node").agg(F.min("slack").alias("slack"))
+    return _windows(rows).select("node").distinct()
 
 
 def _regions(sets: DataFrame, how: Similarity, turns: int = 2) -> DataFrame:
@@ -144,16 +146,22 @@ def _regions(sets: DataFrame, how: Similarity, turns: int = 2) -> DataFrame:
     more shingles of its own than a linked one may lack drops out. Regions with
     the same members are one.
     """
-    size = _sizes(how)
+    slack = (_sizes(how)("missing") + 1 - F.col("n")).cast("int")
     for turn in range(turns):
-        rows = sets.select("node", "n", F.explode("set").alias("s"))
+        rows = sets.select("node", F.col("n").cast("int").alias("n"), slack.alias("slack"), F.explode("set").alias("s"))
         total = sets.agg(F.sum("n")).first()[0] or 0
         rows = rows.repartition(partitions_for(sets.sparkSession, total, 2_000_000), "s")
-        chosen = staged(_windows(rows, size("missing") + 1, F.col("n")), "jaccard-windows")
+        chosen = staged(_windows(rows).select("s", "node", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("met")).alias("own")), "jaccard-windows")
         if turn < turns - 1:
-            sets = staged(sets.join(chosen.select("node").distinct(), "node", "left_semi"), "jaccard-left")
+            left = staged(sets.select("node", "n", "set").join(chosen.select("node").distinct(), "node", "left_semi"), "jaccard-left")
+            del rows
+            discard(chosen, collect=True)
+            sets = left
     members = chosen.groupBy("s").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("m > 1")
-    return chosen.join(members, "s").select(F.xxhash64("m", "x", "y").alias("region"), "node", "n", "own").distinct()
+    out = staged(chosen.join(members, "s").select(F.xxhash64("m", "x", "y").alias("region"), "node", "n", "own").distinct(), "jaccard-regions")
+    del rows, members
+    discard(sets, chosen, collect=True)
+    return out
 
 
 def _sizes(how: Similarity):
@@ -232,11 +240,13 @@ def _near_sizes(a: str, b: str, how: Similarity):
 
 
 def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Edges (a, b) between linked nodes, enough to join every two that any links connect."""
+    """Edges (a, b) between linked nodes, enough to join every two that any links connect; the staged ``sets`` are used up."""
     eps = 1 - how.num / how.den
     wanted = sets.join(_sampled_windows(sets, how), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sets = staged(_sets_of(docs, wanted.select("id"), how), "jaccard-sets")
-    regions = staged(_regions(sets, how), "jaccard-regions")
+    samples, sets = sets, staged(_sets_of(docs, wanted.select("id"), how), "jaccard-sets")
+    del wanted
+    discard(samples, collect=True)
+    regions = _regions(sets, how)
     found = None
     for turn in range(how.rounds):
         if regions.isEmpty():
@@ -247,14 +257,18 @@ def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
         tests = rest.select("node", "pivot").distinct()
         measured = staged(_distances(tests, sets, how), "jaccard-distances")
         new = measured.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        # a component's nodes are all tied to its least one, which stands for the links so far
         found = staged(new if found is None else found.union(new), "jaccard-links")
-        component = components(found, "jaccard")
+        component = staged(components(found, "jaccard"), "jaccard-component")
+        discard(found)
+        found = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         here = rest.join(measured, ["node", "pivot"]).join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
         side = F.explode(F.array_compact(F.array(F.when(F.col("d") <= 2 * eps + 1e-9, F.lit(0)), F.when(~F.col("linked"), F.lit(1)))))
         parts = here.select("region", "node", "n", "own", "c", F.col("d").alias("gap"), side.alias("side"))
         parts = parts.select(F.xxhash64("region", F.lit(turn), "side").alias("region"), "node", "n", "own", "c", "gap")
         live = parts.groupBy("region").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1 AND low <> high")
-        regions = staged(parts.join(live.select("region"), "region", "left_semi"), "jaccard-parts")
+        spent, regions = regions, staged(parts.join(live.select("region"), "region", "left_semi"), "jaccard-parts")
+        discard(spent, measured)
     if found is not None and not regions.isEmpty():
         cells = regions.groupBy("node").agg(F.collect_set("region").alias("cells"))
         sides = regions.join(cells, "node").join(sets.select("node", "sketch"), "node")
@@ -295,9 +309,10 @@ def _identified(rows: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, how: Similarity) -> DataFrame:
     """(id, doc_id, n_shingles, component_id, stays) of ``docs(doc_id, text, id)``; one row of each component stays."""
-    sets = staged(shingle_sets(docs, how), "jaccard-samples")
+    samples = staged(shingle_sets(docs, how), "jaccard-samples")
+    sets = staged(samples.drop("sample"), "jaccard-rows")
     known = sets.where("n_shingles > 0")
-    component = components(links(docs, known, how), "jaccard-all")
+    component = components(links(docs, samples, how), "jaccard-all")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "id")).alias("first")
     nodes = known.groupBy("node").agg(first).join(component, "node", "left")
     nodes = staged(nodes.select("node", "first", F.coalesce("component", "node").alias("component")), "jaccard-nodes")
@@ -310,7 +325,13 @@ def _judged(docs: DataFrame, how: Similarity) -> DataFrame:
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, of the least doc_id; rows without shingles all stay."""
-    where = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_id"))
-    gone = _judged(_identified(located(docs)), Similarity()).where("NOT stays").select(F.col("id").alias("_id"))
-    return where.join(gone, "_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, of the least doc_id; rows without shingles all stay.
+
+    Rows with a null doc_id link like others and stay only where no other row of
+    their component has one. The columns are those of ``docs``, whatever their names.
+    """
+    where, *place = placed(docs)
+    (name,) = free_names(where.columns, "_id")
+    rows = where.select("doc_id", "text", F.xxhash64(*place).alias("id"))
+    gone = _judged(rows, Similarity()).where("NOT stays").select(F.col("id").alias(name))
+    return where.withColumn(name, F.xxhash64(*place)).join(gone, name, "left_anti").drop(name, *place)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import free_names, placed, staged, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -106,13 +106,19 @@ def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIG
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: one row per document and epoch, the text cut to the words taken."""
-    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    plan = mixed(where.select("doc_id", "source", "text", "_file", "_row"), carry=("_file", "_row")).where("taken > 0")
+    """The documents of the mix: one row per document and epoch, the text cut to the words taken.
+
+    All columns of ``docs`` come first, whatever their names; then mix_epoch,
+    mix_words and mix_target, with an underscore more where ``docs`` has such a
+    column. Null, empty and blank texts have no words and are not in the mix.
+    """
+    where, *place = placed(docs)
+    own, mine = docs.columns, free_names(where.columns, "mix_epoch", "mix_words", "mix_target", "_mix_size")
+    plan = mixed(where.select("doc_id", "source", "text", *place), carry=tuple(place)).where("taken > 0")
     plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(1), (F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)).cast("int"))))
-    plan = plan.select("_file", "_row", "epoch", "target", F.when(F.col("epoch") <= F.col("epochs"), F.col("size")).otherwise(F.col("rest")).alias("words"), "size")
+    words = F.when(F.col("epoch") <= F.col("epochs"), F.col("size")).otherwise(F.col("rest"))
+    plan = plan.select(*place, *[c.alias(name) for c, name in zip((F.col("epoch"), words, F.col("target"), F.col("size")), mine, strict=True)])
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = where.join(plan.select("_file", "_row", *[F.col(c).alias(f"_{c}") for c in ("epoch", "words", "target", "size")]), ["_file", "_row"])
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), ""))
-    mine = {"mix_epoch": "_epoch", "mix_words": "_words", "mix_target": "_target"}
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[F.col(v).alias(k) for k, v in mine.items() if k not in docs.columns])
+    rows = where.join(plan, place)
+    text = F.when(F.col(mine[1]) == F.col(mine[3]), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col(mine[1]).cast("int")), ""))
+    return rows.withColumn("text", text).select(*[f"`{c}`" for c in own], *mine[:3])

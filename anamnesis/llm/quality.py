@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import placed
 from .textvec import LOWER, SPACE, mix, pieces, prefix_sums, span_hash, words
 
 LABELLERS = ("symbols", "upper", "word_length", "adjacent_repeats", "distinct_words", "stray_marks", "punctuation", "word_shape")
@@ -148,7 +149,7 @@ def hashed(m: np.ndarray, word: np.ndarray, bounds: np.ndarray, bits: int) -> It
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         index, count = np.unique((mix(word[a:b]) & mask).astype(np.int64), return_counts=True)
         own = mix((np.arange(9) * 1000 + buckets[k] + 7).astype(np.uint64)) & mask
-        yield np.concatenate((index, own.astype(np.int64))), np.concatenate((np.log1p(count) / np.sqrt(max(len(index), 1)), np.ones(9)))
+        yield np.concatenate((index, own.astype(np.int64))).astype(np.int32), np.concatenate((np.log1p(count) / np.sqrt(max(len(index), 1)), np.ones(9))).astype(np.float32)
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, bits: int, epochs: int = 5, rate: float = 0.3) -> np.ndarray:
@@ -227,7 +228,12 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, keep
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the scorer keeps, each row judged by itself."""
-    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    rejected = scored(where, carry=("_file", "_row")).where("NOT keep").select("_file", "_row")
-    return where.join(rejected, ["_file", "_row"], "left_anti").select(*docs.columns)
+    """The documents that the scorer keeps, each row judged by itself.
+
+    Null, empty and blank texts go; rows that repeat, or share a null doc_id, have
+    one verdict where their texts are one. The columns are those of ``docs``,
+    whatever their names. An empty table stays empty.
+    """
+    where, *place = placed(docs)
+    rejected = scored(where, carry=tuple(place)).where("NOT keep").select(*place)
+    return where.join(rejected, place, "left_anti").drop(*place)
