@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import placed
+
 _OTHER = re.compile(r"[\W_]+")
 #: Letters of scripts written without spaces, beside which a word may begin or end anywhere.
 _SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -31,8 +33,9 @@ class Matching:
     rate: float = 0.1
     #: Items whose normalised text is shorter must be found as whole words.
     least_chars: int = 32
-    #: Items per block.
+    #: Items per block, and characters of items.
     block: int = 20_000
+    block_chars: int = 8_000_000
 
 
 def normalised(text: str | None) -> str:
@@ -75,6 +78,23 @@ def best_match(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, at
 
 
+def start_of(pattern: str, text: str, end: int, distance: int) -> int:
+    """The last place from which ``text[start:end]`` is that far from the pattern: Myers' vectors backwards from ``end``."""
+    size = len(pattern)
+    masks, full, top = masks_of(pattern[::-1]), (1 << size) - 1, 1 << (size - 1)
+    plus, minus, score = full, 0, size
+    for k, c in enumerate(reversed(text[max(0, end - size - distance) : end]), 1):
+        eq = masks.get(c, 0)
+        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | ~(diagonal | plus) & full, plus & diagonal
+        score += 1 if up & top else -1 if down & top else 0
+        up = (up << 1 | 1) & full  # the match has to reach ``end``
+        plus, minus = (down << 1 | ~(diagonal | up)) & full, up & diagonal
+        if score == distance:
+            return end - k
+    return end
+
+
 def _parted(text: str, at: int) -> bool:
     """Whether a word may begin or end at ``at``."""
     return at in (0, len(text)) or " " in text[at - 1 : at + 1] or bool(_SPACELESS.search(text[at - 1 : at + 1]))
@@ -132,9 +152,34 @@ class Item:
         spans = {g for piece in groups_of(len(self.pieces)) for g in piece}
         made = {(a, b): (cuts[a], cuts[b] - cuts[a], b - a - 1, masks_of(pattern[cuts[a] : cuts[b]])) for a, b in spans}
         self.above = [[made[g] for g in piece] for piece in groups_of(len(self.pieces))]
+        self.beside = [self._beside(k, piece[0] if piece else None, cuts) for k, piece in enumerate(groups_of(len(self.pieces)))]
+
+    def _beside(self, piece: int, group: tuple[int, int] | None, cuts: list[int]) -> list[tuple[int, int, str]]:
+        """(from, to, part): the rest of the piece's smallest group in as many parts as the group may hold edits, plus one.
+
+        The piece itself is without edits, so one of the parts stands exactly
+        within that many characters of its place.
+        """
+        if not group:
+            return []
+        a, b = (cuts[piece + 1], cuts[group[1]]) if piece == group[0] else (cuts[group[0]], cuts[piece])
+        edits = group[1] - group[0] - 1
+        ends = [a + (b - a) * k // (edits + 1) for k in range(edits + 2)]
+        return [(x - edits, y + edits, self.pattern[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
     def match(self, text: str, start: int, piece: int) -> tuple[int, int, int] | None:
-        """(distance, end, start) of the item's best occurrence around a hit of ``piece`` that puts its start at ``start``."""
+        """(distance, end, start) of the item's best occurrence around a hit of ``piece`` that puts its start at ``start``.
+
+        But for matches of whole words, ``start`` is left as the hit has it.
+        """
+        if not self.worded and start >= 0 and text.startswith(self.pattern, start):
+            return 0, start + len(self.pattern), start
+        for a, b, part in self.beside[piece]:
+            if part in text[max(0, start + a) : max(0, start + b)]:
+                break
+        else:
+            if self.beside[piece]:
+                return None
         found = (0, 0)
         for offset, size, budget, masks in self.above[piece]:
             a = max(0, start + offset - budget)
@@ -145,7 +190,7 @@ class Item:
         if self.worded:
             return worded_match(self.pattern, self.budget, text, start)
         distance, end = found if self.above[piece] else (0, start + len(self.pattern))
-        return distance, end, max(0, end - len(self.pattern))
+        return distance, end, start
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching(), car
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    blocks = max(1, -(-items.count() // how.block))
+    size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // how.block), -(-size[1] // how.block_chars))
     out = None
     for k in range(blocks):
         # a block has about how.block items, whatever the size of the benchmark
@@ -192,12 +238,17 @@ def _search(docs: DataFrame, block, how: Matching, carry: tuple[str, ...]) -> Da
                 for row, (doc_id, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                     text = normalised(raw.as_py())
                     best: dict[int, tuple[int, int, int]] = {}
+                    done: set[tuple[int, int]] = set()  # other hits with the same start find the same
                     for end, (size, uses) in automaton.iter(text):
                         for place, k, offset in uses:
-                            found = items[place].match(text, end + 1 - size - offset, k)
-                            if found and (place not in best or found < best[place]):
-                                best[place] = found
-                    out += [(doc_id, items[place].item_id, d, start, end) for place, (d, end, start) in best.items()]
+                            at = (place, end + 1 - size - offset)
+                            if at not in done and (found := items[place].match(text, at[1], k)):
+                                done.add(at)
+                                if place not in best or found < best[place]:
+                                    best[place] = found
+                    for place, (d, end, start) in best.items():
+                        item = items[place]
+                        out.append((doc_id, item.item_id, d, start if item.worded else start_of(item.pattern, text, end, d), end))
                     rows += [row] * len(best)
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carry]
@@ -208,7 +259,12 @@ def _search(docs: DataFrame, block, how: Matching, carry: tuple[str, ...]) -> Da
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no benchmark item occurs, each row judged by itself."""
-    where = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    found = leaks(where, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("_file", "_row")).select("_file", "_row").distinct()
-    return where.join(found, ["_file", "_row"], "left_anti").select(*docs.columns)
+    """The documents in which no benchmark item occurs, each row judged by itself.
+
+    Null and empty texts hold nothing and stay, as do all rows where the benchmark
+    is empty; rows that repeat, or share a null doc_id, go or stay by their own
+    text. The columns are those of ``docs``, whatever their names.
+    """
+    where, *place = placed(docs)
+    found = leaks(where, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(place)).select(*place).distinct()
+    return where.join(found, place, "left_anti").drop(*place)
