@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,16 +17,22 @@ def tokens(text: Column) -> Column:
 
 
 def bm25_top_k(memories: DataFrame, queries: DataFrame, k: int = PER_ARM) -> DataFrame:
-    """(query_id, memory_id, score, rank): Okapi BM25 of any query word, ties to the lower id."""
-    words = memories.select("memory_id", tokens(F.col("content")).alias("t"))
+    """(query_id, memory_id, score, rank): Okapi BM25 of any query word over the memories of the query's bank, ties to the lower id.
+
+    Words are counted over all banks; postings meet a query by word and bank, so a
+    common word's are dealt out by bank. Only words that some query asks for are
+    gathered, the rest go no further than their own text.
+    """
+    words = memories.select("memory_id", "bank_id", tokens(F.col("content")).alias("t"))
     stats = words.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean_size"))
-    counts = words.select("memory_id", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("memory_id", "term").agg(F.first("size").alias("size"), F.count("*").alias("tf"))
+    asked = queries.select("query_id", "bank_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = words.select("memory_id", "bank_id", F.size("t").alias("size"), F.explode("t").alias("term"))
+    counts = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("memory_id", "term").agg(F.first("bank_id").alias("bank_id"), F.first("size").alias("size"), F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     wanted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    scored = wanted.join(counts, "term").groupBy("query_id", "memory_id").agg(F.sum(part).alias("score"))
+    scored = wanted.join(counts, ["term", "bank_id"]).groupBy("query_id", "memory_id").agg(F.sum(part).alias("score"))
     return top_k(scored, k)
 
 
@@ -37,28 +41,38 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = PER_ARM) -> DataFrame:
-    """(query_id, memory_id, score, rank): exact cosine, a block of queries against all rows.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, rows_per_block: int = 50_000, queries_per_block: int = 2_000) -> DataFrame:
+    """(query_id, memory_id, score, rank): exact cosine of ``queries(query_id, bank_id, embedding)`` and the vectors of their bank.
 
-    Each task keeps its own best k per query; only those are shuffled.
+    A bank's vectors and queries are cut into blocks by hash; a task multiplies one
+    block of each and keeps the best k per query, so a large bank is many tasks.
+    Null vectors and ones with NaN match nothing; a zero vector has similarity 0.
     """
-    ids = np.array([q for q, _ in queries], np.int64)
-    block = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            m = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            sims = block @ m.T
-            rows = pd.DataFrame({"query_id": np.repeat(ids, len(b)), "memory_id": np.tile(b["memory_id"].to_numpy(), len(ids)), "score": sims.ravel()})
-            best = [pd.concat([*best, rows]).sort_values(["query_id", "score", "memory_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
-        yield from best
-
-    return top_k(vectors.mapInPandas(run, "query_id long, memory_id long, score double"), k)
+    size = vectors.groupBy("bank_id").agg(F.ceil(F.count("*") / rows_per_block).alias("_s"))
+    asked = queries.groupBy("bank_id").agg(F.ceil(F.count("*") / queries_per_block).alias("_q"))
+    cuts = size.join(asked, "bank_id")
+    left = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").join(cuts, "bank_id")
+    left = left.select("bank_id", F.pmod(F.xxhash64("memory_id"), "_s").alias("_vs"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("_qs"), "memory_id", "embedding")
+    right = queries.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").join(cuts, "bank_id")
+    right = right.select(F.col("bank_id").alias("_bank"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_block"), F.pmod(F.xxhash64("query_id"), "_q").alias("_part"), "query_id", F.col("embedding").alias("asked"))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if one.num_rows and two.num_rows:
+            ids, m = one["memory_id"].to_numpy(), unit(one["embedding"])
+            order = np.argsort(ids, kind="stable")
+            ids, m = ids[order], m[order]
+            sims = np.round(unit(two["asked"]) @ m.T, 9)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            out = [np.repeat(two["query_id"].to_numpy(), best.shape[1]), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()]
+        return pa.table(out, names=["query_id", "memory_id", "score"])
+
+    return top_k(left.groupBy("bank_id", "_vs", "_qs").cogroup(right.groupBy("_bank", "_block", "_part")).applyInArrow(run, "query_id long, memory_id long, score double"), k)
 
 
 def rrf_fuse(arms: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -74,18 +88,19 @@ def effective_query(message: Column, previous: Column, least: int = 8) -> Column
     return F.when(short & (F.length(F.coalesce(previous, F.lit(""))) > 0), F.concat_ws("\n", previous, message)).otherwise(message)
 
 
-def gate(scored: DataFrame, floor: float, cap: int = 8, budget: int = 600, header: int = 0) -> DataFrame:
+def gate(scored: DataFrame, floor: float, cap: int = 8, budget: int = 600, header: int = 0, by: str = "score") -> DataFrame:
     """(query_id, memory_id, rank, decision): in score order what enters a prompt.
 
     Below the floor: under_floor; when ``cap`` are taken: over_cap; a line that
     would pass the token budget: over_budget, while later shorter ones may fit.
+    ``by`` names the column that the floor holds for.
     """
-    rows = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "memory_id", "chars", "score"))).alias("rows"))
+    rows = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "memory_id", "chars", F.col(by).alias("floored")))).alias("rows"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(header).cast("long").alias("used"), F.array().cast("array<struct<memory_id:bigint,decision:string>>").alias("out"))
 
     def step(acc, r):
         fits = F.ceil((acc["used"] + r["chars"] + 1) / 4) <= budget
-        decision = F.when(r["score"] < floor, "under_floor").when(acc["n"] >= cap, "over_cap").when(~fits, "over_budget").otherwise("taken")
+        decision = F.when(r["floored"] < floor, "under_floor").when(acc["n"] >= cap, "over_cap").when(~fits, "over_budget").otherwise("taken")
         took = decision == "taken"
         return F.struct(
             (acc["n"] + F.when(took, 1).otherwise(0)).alias("n"), F.when(took, acc["used"] + r["chars"] + 1).otherwise(acc["used"]).cast("long").alias("used"),

@@ -48,24 +48,47 @@ def micros(column: str | Column) -> Column:
 
 
 def bank_windows(turns: DataFrame) -> DataFrame:
-    """(bank_id, start_us, end_us, full_before_us): unions of [turn, turn + 24 h); touching windows are one."""
+    """(bank_id, start_us, end_us, full_before_us): unions of [turn, turn + 24 h); touching windows are one.
+
+    Turns of one day are less than 24 hours apart, so a bank's day is one stretch
+    from its first turn to its last; the windows run over days, not turns.
+    """
     own = W.partitionBy("bank_id").orderBy("start_us")
-    rows = turns.select("bank_id", micros("message_at").alias("start_us")).distinct()
-    last = F.max("start_us").over(own.rowsBetween(W.unboundedPreceding, -1)) + DAY
+    at = micros("message_at")
+    rows = turns.select("bank_id", at.alias("at")).groupBy("bank_id", F.floor(F.col("at") / DAY).alias("day")).agg(F.min("at").alias("start_us"), F.max("at").alias("last_us"))
+    last = F.max("last_us").over(own.rowsBetween(W.unboundedPreceding, -1)) + DAY
     rows = rows.withColumn("island", F.sum(F.when(F.col("start_us") <= last, 0).otherwise(1)).over(own))
-    merged = rows.groupBy("bank_id", "island").agg(F.min("start_us").alias("start_us"), (F.max("start_us") + DAY).alias("end_us"))
+    merged = rows.groupBy("bank_id", "island").agg(F.min("start_us").alias("start_us"), (F.max("last_us") + DAY).alias("end_us"))
     before = F.coalesce(F.sum(F.col("end_us") - F.col("start_us")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return merged.select("bank_id", "start_us", "end_us", before.alias("full_before_us"))
 
 
 def full_before(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """Add ``full_us``, the full-speed time before ``at_us``: an as-of join by union and last value."""
-    marks = windows.select("bank_id", F.col("start_us").alias("at_us"), F.struct("start_us", "end_us", "full_before_us").alias("w"))
-    both = points.withColumn("w", F.lit(None).cast(marks.schema["w"].dataType)).unionByName(marks, allowMissingColumns=True)
-    own = W.partitionBy("bank_id").orderBy("at_us", F.col("w").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("seen", F.last("w", ignorenulls=True).over(own)).where("w IS NULL")
-    full = F.col("seen.full_before_us") + F.least(F.col("at_us"), F.col("seen.end_us")) - F.col("seen.start_us")
-    return seen.withColumn("full_us", F.coalesce(full, F.lit(0))).drop("w", "seen")
+    """Add ``full_us``, the full-speed time before ``at_us``: an as-of join over days.
+
+    Windows start more than 24 hours apart, so a bank's day has one start at most;
+    what a point sees is that one, if it is past, or the last of an earlier day.
+    Only the table of a bank's days goes through a window.
+    """
+    day = F.floor(F.col("at_us") / DAY).alias("_day")
+    starts = windows.select("bank_id", F.floor(F.col("start_us") / DAY).alias("_day"), F.struct("start_us", "end_us", "full_before_us").alias("w"))
+    days = points.select("bank_id", day).distinct().withColumn("w", F.lit(None).cast(starts.schema["w"].dataType)).unionByName(starts)
+    own = W.partitionBy("bank_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.groupBy("bank_id", "_day").agg(F.max("w").alias("w")).withColumn("before", F.last("w", ignorenulls=True).over(own))
+    seen = points.withColumn("_day", F.floor(F.col("at_us") / DAY)).join(days, ["bank_id", "_day"])
+    w = F.when(F.col("w.start_us") <= F.col("at_us"), F.col("w")).otherwise(F.col("before"))
+    seen = seen.withColumn("w", w)
+    full = F.col("w.full_before_us") + F.least(F.col("at_us"), F.col("w.end_us")) - F.col("w.start_us")
+    return seen.withColumn("full_us", F.coalesce(full, F.lit(0))).drop("w", "before", "_day")
+
+
+def bank_days(spans: DataFrame, windows: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """Add ``days`` to ``spans(bank_id, from_us, to_us, ..)``: full-speed time and the quiet share of the rest; 0 if the span is empty."""
+    at = spans.withColumn("at_us", F.col("from_us"))
+    at = full_before(at, windows).withColumnRenamed("full_us", "_full_from").withColumn("at_us", F.col("to_us"))
+    full = F.col("full_us") - F.col("_full_from")
+    days = (full + tuning.quiet_rate * (F.col("to_us") - F.col("from_us") - full)) / float(DAY)
+    return full_before(at, windows).withColumn("days", F.when(F.col("to_us") > F.col("from_us"), days).otherwise(0.0)).drop("at_us", "_full_from", "full_us")
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -85,12 +108,42 @@ def closure(edges: DataFrame) -> DataFrame:
         size = grown
 
 
+def survivors(rows: DataFrame, key: str, to: str, name: str) -> DataFrame:
+    """(key, name): where the pointers ``to`` of ``rows(key, to)`` end; a pointer to nothing ends before it.
+
+    Each round every pointer jumps to where its target points, so a chain of n
+    takes about log2 n joins of n rows. A row of a cycle has no end and keeps its own key.
+    """
+    rows = rows.select(key, to)
+    ends = rows.where(F.col(to).isNull()).select(F.col(key).alias("at"))
+    known = rows.select(F.col(key).alias("at"))
+    links = rows.where(F.col(to).isNotNull()).select(key, F.col(to).alias("at"))
+    ends = ends.union(links.join(known, "at", "left_anti").select(F.col(key).alias("at"))).distinct()
+    open_, done = links.join(known, "at").checkpoint(), None
+    left = open_.count()
+    while left:
+        closed = open_.join(ends, "at", "left_semi").select(key, F.col("at").alias(name))
+        done = (closed if done is None else done.union(closed)).checkpoint()
+        steps = open_.select(F.col(key).alias("at"), F.col("at").alias("next"))
+        ended = done.select(F.col(key).alias("at"), F.col(name).alias("last"))
+        going = open_.join(ends, "at", "left_anti").join(steps, "at", "left").join(ended, "at", "left")
+        open_ = going.select(key, F.coalesce("last", "next", "at").alias("at")).checkpoint()
+        before, left = left, open_.count()
+        if left == before:
+            break  # cycles
+    if done is None:
+        return rows.select(key, F.col(key).alias(name))
+    return rows.select(key).join(done, key, "left").select(key, F.coalesce(name, key).alias(name))
+
+
 def chain_heads(memories: DataFrame) -> DataFrame:
-    """(memory_id, head_id): the last of each memory's heirs that nothing supersedes."""
-    reach = closure(memories)
-    ends = memories.where("superseded_by IS NULL").select(F.col("memory_id").alias("heir"))
-    heads = reach.join(ends, "heir").select("memory_id", F.col("heir").alias("head_id"))
-    return memories.select("memory_id").join(heads, "memory_id", "left").select("memory_id", F.coalesce("head_id", "memory_id").alias("head_id"))
+    """(memory_id, head_id): the last of each memory's heirs."""
+    return survivors(memories, "memory_id", "superseded_by", "head_id")
+
+
+def chain_members(memories: DataFrame) -> DataFrame:
+    """(head_id, memory_id): the whole tree of each chain, the head too."""
+    return chain_heads(memories).select("head_id", "memory_id")
 
 
 def inherited(memories: DataFrame, accesses: DataFrame) -> DataFrame:
@@ -135,35 +188,91 @@ def recent_use(at_us: np.ndarray, full_us: np.ndarray, weight: np.ndarray, now_u
     return float(np.log(total)) if total > 0 else float("-inf")
 
 
+def _column(rows: DataFrame, name: str, default: str) -> Column:
+    return F.col(name) if name in rows.columns else F.lit(default)
+
+
+def closes_at(memories: DataFrame) -> Column:
+    """End of the unit of ``valid_until``; of an event without it, of ``valid_from``.
+
+    Units and timezone are those of the columns valid_until_precision,
+    valid_from_precision and timezone; without them days and UTC.
+    """
+    zone = _column(memories, "timezone", "UTC")
+    until = unit_end(F.col("valid_until").cast("timestamp"), _column(memories, "valid_until_precision", "day"), zone)
+    start = unit_end(F.col("valid_from").cast("timestamp"), _column(memories, "valid_from_precision", "day"), zone)
+    return F.coalesce(until, F.when(F.col("kind") == "event", start))
+
+
+def has_ended(memories: DataFrame, now: Column) -> Column:
+    end = unit_end(F.col("valid_until").cast("timestamp"), _column(memories, "valid_until_precision", "day"), _column(memories, "timezone", "UTC"))
+    return F.coalesce(end <= now, F.lit(False))
+
+
+def window_close(memories: DataFrame) -> DataFrame:
+    """(memory_id, closes_at, known_at) of the memories whose window closes; known when the memory that ended it was said, else its own."""
+    rows = memories.select("memory_id", "ended_by", F.col("observed_at").cast("timestamp").alias("own"), closes_at(memories).alias("closes_at")).where("closes_at IS NOT NULL")
+    ends = memories.select(F.col("memory_id").alias("ended_by"), F.col("observed_at").cast("timestamp").alias("said"))
+    return rows.join(ends, "ended_by", "left").select("memory_id", "closes_at", F.coalesce("said", "own").alias("known_at"))
+
+
 def strength(memories: DataFrame, accesses: DataFrame, turns: DataFrame, now: str, tuning: Tuning = TUNING) -> DataFrame:
     """(memory_id, bank_id, occasions, recent_use, lasting, value), one row per memory.
 
-    Accesses after ``now`` are ignored; a memory without accesses has strength
-    -infinity. Accesses are gathered by memory; a memory's list is the unit of
-    the recurrence.
+    Accesses after ``now`` are ignored; a memory that counts none has strength
+    -infinity. Once a window's close has passed and is known, recent use starts
+    over from one access of weight 1 at that time and those after the close; the
+    lasting floor goes on counting all. Accesses are dealt out and sorted by
+    memory and run through in batches; a memory's list is the unit of the recurrence.
     """
-    at = pd.Timestamp(now)
-    banks = memories.select(F.col("memory_id").alias("counting"), "bank_id")
-    counted = inherited(memories, accesses).where(F.col("accessed_at") <= F.lit(now).cast("timestamp"))
-    points = counted.join(banks, "counting").select("bank_id", "counting", micros("accessed_at").alias("at_us"), of_map(F.col("kind"), WEIGHTS).alias("weight"))
+    at, moment = pd.Timestamp(now), F.lit(now).cast("timestamp")
     now_us = int(at.value // 1000)
-    marks = memories.select("bank_id").distinct().select("bank_id", F.lit(-1).cast("long").alias("counting"), F.lit(now_us).cast("long").alias("at_us"), F.lit(0.0).alias("weight"))
-    timed = full_before(points.unionByName(marks), bank_windows(turns))
-    clock = timed.where("counting = -1").select("bank_id", F.col("full_us").alias("now_full"))
-    timed = timed.where("counting >= 0").join(clock, "bank_id")
+    close = window_close(memories).withColumn("restart", F.greatest("closes_at", "known_at")).where(F.col("restart") <= moment)
+    close = close.select(F.col("memory_id").alias("counting"), micros("closes_at").alias("closes_us"), micros("restart").alias("restart_us"))
+    banks = memories.select(F.col("memory_id").alias("counting"), "bank_id").join(close, "counting", "left")
+    counted = inherited(memories, accesses).where(F.col("accessed_at") <= moment)
+    counted = counted.select("counting", micros("accessed_at").alias("at_us"), of_map(F.col("kind"), WEIGHTS).alias("weight"))
+    points = counted.join(banks, "counting").select("bank_id", "counting", "at_us", F.when(F.col("closes_us").isNull() | (F.col("at_us") > F.col("closes_us")), F.col("weight")).otherwise(0.0).alias("weight"), F.lit(True).alias("said"))
+    fresh = banks.where("restart_us IS NOT NULL").select("bank_id", "counting", F.col("restart_us").alias("at_us"), F.lit(1.0).alias("weight"), F.lit(False).alias("said"))
+    marks = memories.select("bank_id").distinct().select("bank_id", F.lit(None).cast("long").alias("counting"), F.lit(now_us).cast("long").alias("at_us"), F.lit(0.0).alias("weight"), F.lit(False).alias("said"))
+    timed = full_before(points.unionByName(fresh).unionByName(marks), bank_windows(turns))
+    clock = timed.where("counting IS NULL").select("bank_id", F.col("full_us").alias("now_full"))
+    timed = timed.where("counting IS NOT NULL").join(clock, "bank_id").select("counting", "at_us", "full_us", "weight", "said", "now_full")
     spacing = tuning.floor_spacing_days * DAY
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_us", "weight"], ascending=[True, False])
-        t = rows["at_us"].to_numpy()
+    def one(rows: pd.DataFrame) -> tuple[int, float]:
         n, last = 0, None
-        for x in t:
+        for x in rows["at_us"].to_numpy()[rows["said"].to_numpy()]:
             if last is None or x - last >= spacing:
                 n, last = n + 1, x
-        use = recent_use(t, rows["full_us"].to_numpy(float), rows["weight"].to_numpy(float), now_us, float(rows["now_full"].iloc[0]), tuning)
-        return pd.DataFrame({"counting": [key[0]], "occasions": [n], "recent_use": [use]})
-
-    used = timed.groupBy("counting").applyInPandas(run, "counting long, occasions long, recent_use double")
+        rows = rows[rows["weight"].to_numpy() > 0]
+        if not len(rows):
+            return n, float("-inf")
+        use = recent_use(rows["at_us"].to_numpy(), rows["full_us"].to_numpy(float), rows["weight"].to_numpy(), now_us, float(rows["now_full"].iloc[0]), tuning)
+        return n, use
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the last memory of a batch may go on in the next
+
+        def told(rows: pd.DataFrame) -> pd.DataFrame:
+            key = rows["counting"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            found = [(key[a], *one(rows.iloc[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pd.DataFrame(found, columns=["counting", "occasions", "recent_use"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            cut = int(np.searchsorted(rows["counting"].to_numpy() == rows["counting"].iloc[-1], True))
+            if cut:
+                yield told(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+        if held is not None:
+            yield told(held)
+
+    sorted_ = timed.repartition("counting").sortWithinPartitions("counting", "at_us", F.desc("weight"))
+    used = sorted_.mapInPandas(run, "counting long, occasions long, recent_use double")
     sig = of_map(F.coalesce("owner_significance", "significance"), SIGNIFICANCE)
     floor = F.when(F.col("occasions") > 0, tuning.tau - tuning.g * float(np.log(tuning.n0)) + tuning.g * F.log(F.col("occasions").cast("double"))).otherwise(F.lit(float("-inf")))
     rows = memories.select("memory_id", "bank_id", sig.alias("sig")).join(used.withColumnRenamed("counting", "memory_id"), "memory_id", "left").fillna({"occasions": 0})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from anamnesis.operators import history as H
 from anamnesis.operators import recall as R
 from anamnesis.operators import strength as S
-from anamnesis.sources.fixtures import derived, views, with_derived
+from anamnesis.sources.fixtures import DERIVED, derived, views, with_derived
 
 NOW = "2024-02-15 00:00:00"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def put(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = with_derived(sql) if "d_" in sql else sql
+            _SQL[f.__name__] = with_derived(sql) if any(n in sql for n in DERIVED) else sql
         return f
 
     return put
@@ -201,17 +201,17 @@ def day_counts(spark, d):
 
 
 def _queries(spark):
-    return spark.table("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("query"))
+    return spark.table("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 8).alias("bank_id"), F.col("text").alias("query"))
 
 
 _BM25 = r"""
-WITH w AS (SELECT memory_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM d_memories),
+WITH w AS (SELECT memory_id, bank_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM d_memories),
 st AS (SELECT count(*) AS docs, avg(len(t)) AS mean_size FROM w),
-c AS (SELECT memory_id, size, term, count(*) AS tf FROM (SELECT memory_id, len(t) AS size, unnest(t) AS term FROM w) x GROUP BY 1, 2, 3),
+c AS (SELECT memory_id, bank_id, size, term, count(*) AS tf FROM (SELECT memory_id, bank_id, len(t) AS size, unnest(t) AS term FROM w) x GROUP BY 1, 2, 3, 4),
 df AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
-q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 12), ' ')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark) y),
+q AS (SELECT DISTINCT query_id, bank_id, term FROM (SELECT item_id AS query_id, item_id % 8 AS bank_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark) y),
 s AS (SELECT q.query_id, c.memory_id, sum(ln(1 + (docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))) AS score
-  FROM q JOIN df ON q.term = df.term JOIN c ON c.term = q.term CROSS JOIN st GROUP BY 1, 2),
+  FROM q JOIN df ON q.term = df.term JOIN c ON c.term = q.term AND c.bank_id = q.bank_id CROSS JOIN st GROUP BY 1, 2),
 b AS (SELECT query_id, memory_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) AS rank FROM s) z WHERE rank <= 100)
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 MEMORIES = """
-SELECT doc_id AS memory_id, CAST(floor(doc_id / 10) AS BIGINT) % 8 AS bank_id, substring(text, 1, 160) AS content,
+SELECT doc_id AS memory_id, CAST(floor(doc_id / 10) AS BIGINT) % 8 AS bank_id, coalesce(text, '') AS content,
        CASE doc_id % 5 WHEN 0 THEN 'fact' WHEN 1 THEN 'event' WHEN 2 THEN 'state' WHEN 3 THEN 'task' ELSE 'recurring' END AS kind,
        CASE doc_id % 7 WHEN 0 THEN 'minor' WHEN 1 THEN 'notable' WHEN 2 THEN 'major' WHEN 3 THEN 'critical' ELSE 'trivial' END AS significance,
        CASE WHEN doc_id % 41 = 0 THEN 'kept' END AS owner_significance,
@@ -34,7 +34,27 @@ SELECT conv_id AS session_id, conv_id % 8 AS bank_id, turn, role, text,
 FROM conversations
 """
 
-DERIVED = {"d_memories": MEMORIES, "d_accesses": ACCESSES, "d_messages": MESSAGES}
+LINKS = """
+SELECT memory_id, bank_id, entity_id FROM (
+  SELECT d.doc_id AS memory_id, CAST(floor(d.doc_id / 10) AS BIGINT) % 8 AS bank_id, CAST(d.doc_id % 40 AS BIGINT) AS entity_id FROM documents d
+  UNION ALL SELECT d.doc_id, CAST(floor(d.doc_id / 10) AS BIGINT) % 8, CAST(40 + d.doc_id % 7 AS BIGINT) FROM documents d WHERE d.doc_id % 3 = 0) AS l
+"""
+
+ENTITIES = """
+SELECT DISTINCT CAST(doc_id % 47 AS BIGINT) AS entity_id, 'Entity ' || CAST(doc_id % 47 AS STRING) AS name, doc_id % 47 = 0 AS seeded,
+       CASE WHEN doc_id % 47 IN (41, 42, 43) THEN CAST(doc_id % 47 + 1 AS BIGINT) WHEN doc_id % 47 = 5 THEN CAST(6 AS BIGINT) END AS merged_into
+FROM documents
+"""
+
+SOURCES = """
+SELECT doc_id AS source_id, CAST(floor(doc_id / 10) AS BIGINT) % 8 AS bank_id, CASE WHEN doc_id % 4 = 0 THEN 'document' ELSE 'turn' END AS kind,
+       CASE WHEN doc_id % 4 <> 0 THEN CAST(floor(doc_id / 12) AS BIGINT) END AS session_id, CASE WHEN doc_id % 4 = 0 THEN 'doc-' || CAST(doc_id % 24 AS STRING) END AS document_id,
+       TIMESTAMP '2023-10-01 00:00:00' + (doc_id % 3000) * INTERVAL '1' HOUR AS ingested_at, coalesce(text, '') AS text, source AS author,
+       doc_id % 29 = 0 AS tombstoned, doc_id % 53 = 0 AS removed, doc_id % 11 = 0 AS queued, doc_id % 31 = 0 AS failed
+FROM documents
+"""
+
+DERIVED = {"d_memories": MEMORIES, "d_accesses": ACCESSES, "d_messages": MESSAGES, "d_links": LINKS, "d_entities": ENTITIES, "d_sources": SOURCES}
 BASE = ("documents", "events", "conversations", "embeddings", "labels", "benchmark")
 
 

@@ -6,7 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from anamnesis.plans import registry, upkeep  # noqa: F401
+import __spark_entry__  # noqa: F401  (registers all queries)
+from anamnesis.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "embeddings", "events", "conversations", "labels", "benchmark")
