@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 3000
@@ -71,10 +72,11 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 spans = [(p, a, b) for p, s, e in sections(text) for a, b in cut(text, s, e, limit)]
-                rows = [(doc_id, k, p, a, b, text[a:b], chunk_hash(p, text[a:b])) for k, (p, a, b) in enumerate(spans)]
-                yield pd.DataFrame(rows, columns=["doc_id", "position", "heading_path", "start", "end", "text", "chunk_hash"])
+                rows += [(doc_id, k, p, a, b, text[a:b], chunk_hash(p, text[a:b])) for k, (p, a, b) in enumerate(spans)]
+            yield pd.DataFrame(rows, columns=["doc_id", "position", "heading_path", "start", "end", "text", "chunk_hash"])
 
     schema = "doc_id long, position int, heading_path array<string>, start int, end int, text string, chunk_hash string"
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, schema)
@@ -82,5 +84,5 @@ def chunk_documents(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 
 def new_chunks(chunks: DataFrame) -> DataFrame:
     """Add ``outcome`` to (document, version, chunk_hash): skipped where an earlier version of the document had the chunk."""
-    first = chunks.groupBy("document", "chunk_hash").agg(F.min("version").alias("_first"))
-    return chunks.join(first, ["document", "chunk_hash"]).withColumn("outcome", F.when(F.col("_first") < F.col("version"), "skipped").otherwise("queued")).drop("_first")
+    first = F.min("version").over(W.partitionBy("document", "chunk_hash"))
+    return chunks.withColumn("outcome", F.when(first < F.col("version"), "skipped").otherwise("queued"))

@@ -72,11 +72,11 @@ def turn_hash(user: Column, reply: Column) -> Column:
 
 
 def ingest(batch: DataFrame, stored: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Add ``outcome``: stored for the first row of a new key, duplicate for the rest."""
-    first = F.row_number().over(W.partitionBy(*key).orderBy(order))
+    """Add ``outcome``: stored for the first row of a new key by ``order``, which is unique, duplicate for the rest."""
+    first = batch.groupBy(*key).agg(F.min(order).alias("_first"))
     known = stored.select(*key).distinct().withColumn("_known", F.lit(True))
-    rows = batch.withColumn("_n", first).join(known, key, "left")
-    return rows.withColumn("outcome", F.when(F.col("_known") | (F.col("_n") > 1), "duplicate").otherwise("stored")).drop("_n", "_known")
+    rows = batch.join(first.join(known, key, "left"), key)
+    return rows.withColumn("outcome", F.when(F.col("_known").isNull() & (F.col(order) == F.col("_first")), "stored").otherwise("duplicate")).drop("_first", "_known")
 
 
 def turn_numbers(sources: DataFrame) -> DataFrame:
@@ -93,18 +93,30 @@ def dedupe_accesses(accesses: DataFrame, weights: dict[str, float]) -> DataFrame
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Per key the values at index round((n - 1) * p) of the ascending order."""
+    """Per key the values at index round((n - 1) * p): values are counted first, so windows run over different values only."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     own = W.partitionBy(*keys)
-    ranked = rows.select(*keys, value, F.row_number().over(own.orderBy(value)).alias("_i"), F.count("*").over(own).alias("_n"))
-    at = {n: F.max(F.when(F.col("_i") - 1 == F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(n) for n, p in points.items()}
-    return ranked.groupBy(*keys).agg(*at.values())
+    seen = counts.withColumn("_to", F.sum("_c").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(own))
+    at = [F.min(F.when(F.col("_to") > F.floor((F.col("_n") - 1) * p + 0.5), F.col(value))).alias(name) for name, p in points.items()]
+    return seen.groupBy(*keys).agg(*at)
 
 
-def precision_curve(labelled: DataFrame) -> DataFrame:
-    """(score, kept, relevant, precision) at each distinct score: one aggregate, then running sums from the top."""
+def precision_curve(labelled: DataFrame, ranges: int = 200) -> DataFrame:
+    """(score, kept, relevant, precision) at each distinct score, from the top.
+
+    Scores are counted, then cut into ranges of about equal size; running sums go
+    over a range's scores and over the table of ranges, so no task holds all scores.
+    """
     steps = labelled.groupBy("score").agg(F.count("*").alias("n"), F.sum("relevant").alias("r"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    rows = steps.select("score", F.sum("n").over(down).alias("kept"), F.sum("r").over(down).alias("relevant"))
+    ends = sorted(set(steps.approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.002))) if not steps.isEmpty() else []
+    bounds = F.array(*[F.lit(float(x)) for x in ends]) if ends else F.array().cast("array<double>")
+    rows = steps.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("score").cast("double"))))
+    down = W.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    above = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    totals = rows.groupBy("_range").agg(F.sum("n").alias("_n"), F.sum("r").alias("_r"))
+    totals = totals.select("_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("_r").over(above), F.lit(0)).alias("_r"))
+    rows = rows.select("score", "_range", F.sum("n").over(down).alias("kept"), F.sum("r").over(down).alias("relevant")).join(totals, "_range")
+    rows = rows.select("score", (F.col("kept") + F.col("_n")).alias("kept"), (F.col("relevant") + F.col("_r")).alias("relevant"))
     return rows.withColumn("precision", F.col("relevant") / F.col("kept"))
 
 

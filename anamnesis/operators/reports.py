@@ -89,16 +89,6 @@ def extraction_lag(synced: DataFrame, completed: DataFrame, key: str) -> DataFra
     return synced.join(completed, key).select(key, (S.micros("completed_at") - S.micros("synced_at")).alias("lag_us"))
 
 
-def ranks(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Per key the values at index round((n - 1) * p): values are counted first, so windows run over different values only."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    own = W.partitionBy(*keys)
-    seen = counts.withColumn("_to", F.sum("_c").over(own.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(own))
-    index = lambda p: F.floor((F.col("_n") - 1) * p + 0.5)
-    at = [F.min(F.when(F.col("_to") > index(p), F.col(value))).alias(name) for name, p in points.items()]
-    return seen.groupBy(*keys).agg(*at)
-
-
 def memory_outcomes(memories: DataFrame, created: DataFrame, faded: DataFrame, purged: DataFrame) -> DataFrame:
     """(memory_id, created_at, faded_at, purged_at), nulls where it has not."""
     rows = memories.select("memory_id").join(created, "memory_id", "left").join(faded, "memory_id", "left").join(purged, "memory_id", "left")

@@ -65,9 +65,11 @@ def model_fingerprint(inputs: DataFrame) -> DataFrame:
     return inputs.groupBy("model_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
 
 
-def current_answers(cites: DataFrame, memories: DataFrame, gone: Column) -> DataFrame:
-    """(model_id, current): all the memories that a model cites still stand."""
-    return cites.join(memories.select("memory_id", F.coalesce(gone, F.lit(False)).alias("_gone")), "memory_id").groupBy("model_id").agg((~F.bool_or("_gone")).alias("current"))
+def current_answers(models: DataFrame, cites: DataFrame, memories: DataFrame, gone: Column) -> DataFrame:
+    """(model_id, current): a model has cites, and all the memories it cites are there and still stand."""
+    rows = cites.join(memories.select("memory_id", F.coalesce(gone, F.lit(False)).alias("_gone")), "memory_id", "left")
+    rows = rows.groupBy("model_id").agg((~F.bool_or(F.coalesce("_gone", F.lit(True)))).alias("_current"))
+    return models.select("model_id").join(rows, "model_id", "left").select("model_id", F.coalesce("_current", F.lit(False)).alias("current"))
 
 
 def refresh_due(first: Column, last: Column, refreshed: Column, urgent: Column) -> Column:

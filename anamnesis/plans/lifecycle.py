@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from anamnesis.operators import agenda as A
 from anamnesis.operators import entities as E
+from anamnesis.operators import history as H
 from anamnesis.operators import ingest as I
 from anamnesis.operators import lifecycle as L
 from anamnesis.operators import reconcile as C
-from anamnesis.operators import recall as R
 from anamnesis.operators import reports as P
 from anamnesis.operators import retrieval as V
 from anamnesis.operators import strength as S
@@ -636,7 +636,7 @@ SELECT bank_id, max(CASE WHEN i = floor((n - 1) * 0.5 + 0.5) THEN lag_us END) AS
 def extraction_lag(spark, d):
     rows = derived(spark, d, "d_messages").select("session_id", "turn", "bank_id", F.col("message_at").cast("timestamp").alias("synced_at")).withColumn("k", F.concat_ws(":", "session_id", "turn"))
     done = rows.select("k", F.timestamp_micros(S.micros("synced_at") + S.micros("synced_at") % 977).alias("completed_at"))
-    return P.ranks(P.extraction_lag(rows, done, "k").join(rows.select("k", "bank_id"), "k"), ["bank_id"], "lag_us", {"p50": 0.5, "p95": 0.95})
+    return H.nearest_rank(P.extraction_lag(rows, done, "k").join(rows.select("k", "bank_id"), "k"), ["bank_id"], "lag_us", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""

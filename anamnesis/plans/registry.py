@@ -62,14 +62,21 @@ def chain_heads(spark, d):
 _SQL["chain_heads"] = _SQL["chain_heads"].replace("WITH d_", "WITH RECURSIVE d_", 1)
 
 
-@query()
+@query("""
+WITH a AS (SELECT DISTINCT memory_id, epoch_us(accessed_at) AS t FROM d_accesses WHERE accessed_at <= TIMESTAMP '2024-02-15 00:00:00'),
+o AS (SELECT memory_id, min(t) AS t FROM a GROUP BY 1 UNION ALL SELECT memory_id, t FROM (SELECT o.memory_id, min(a.t) AS t FROM o JOIN a ON a.memory_id = o.memory_id AND a.t >= o.t + 259200000000 GROUP BY o.memory_id, o.t) n)
+SELECT memory_id, count(*) AS occasions FROM o GROUP BY 1
+""")
 def occasions(spark, d):
     return S.occasions(derived(spark, d, "d_accesses"), NOW)
 
 
-def _strength(spark, d):
+_SQL["occasions"] = _SQL["occasions"].replace("WITH d_", "WITH RECURSIVE d_", 1)
+
+
+def _strength(spark, d, at=NOW):
     _checkpoints(spark)
-    return S.strength(derived(spark, d, "d_memories"), derived(spark, d, "d_accesses"), derived(spark, d, "d_messages"), NOW)
+    return S.strength(derived(spark, d, "d_memories"), derived(spark, d, "d_accesses"), derived(spark, d, "d_messages"), at)
 
 
 @query()

@@ -83,13 +83,13 @@ def corroborate_used(spark, d):
 _SQL["corroborate_used"] = _SQL["corroborate_used"].replace("WITH d_", "WITH RECURSIVE d_", 1)
 
 
-def _eligible(spark, d):
+def _eligible(spark, d, at=NOW):
     heads = derived(spark, d, "d_memories").where("superseded_by IS NULL")
-    now, day, utc = F.lit(NOW).cast("timestamp"), F.lit("day"), F.lit("UTC")
+    now, day, utc = F.lit(at).cast("timestamp"), F.lit("day"), F.lit("UTC")
     end = lambda c: S.unit_end(F.col(c).cast("timestamp"), day, utc)
-    closes = F.coalesce(end("valid_until"), F.when(F.col("kind") == "event", end("valid_from")))
+    closes = S.closes_at(heads)
     due = F.when((F.col("kind") == "task") & (F.col("observed_at") < F.col("due_at")), U.overdue_until(end("due_at"), closes))
-    rows = heads.join(_strength(spark, d).drop("bank_id"), "memory_id")
+    rows = heads.join(_strength(spark, d, at).drop("bank_id"), "memory_id")
     may = U.purge_eligible(F.col("value"), F.col("lasting"), [end("valid_from"), end("valid_until")], due, F.col("hidden"), now)
     return rows.select("memory_id", "bank_id", may.alias("eligible"))
 
@@ -101,8 +101,8 @@ def purge_eligible(spark, d):
 
 @query()
 def purge_plan(spark, d):
-    """Per bank the memories, all versions of a chain, that a sweep would take now."""
-    gone = _eligible(spark, d).where("eligible").select(F.col("memory_id").alias("head_id"), "bank_id")
+    """Per bank the memories, all versions of a chain, that a sweep would take when decades have passed."""
+    gone = _eligible(spark, d, "2060-01-01 00:00:00").where("eligible").select(F.col("memory_id").alias("head_id"), "bank_id")
     return S.chain_heads(derived(spark, d, "d_memories")).join(gone, "head_id").groupBy("bank_id").agg(F.count("*").alias("memories"), F.count_distinct("head_id").alias("chains"))
 
 
@@ -161,11 +161,15 @@ def model_fingerprint(spark, d):
     return U.model_fingerprint(_pool(spark, d).join(derived(spark, d, "d_memories"), "memory_id"))
 
 
-@query(_POOL + """SELECT model_id, NOT bool_or(hidden OR retracted OR coalesce(valid_until <= TIMESTAMP '2024-02-15 00:00:00', false)) AS current
-FROM pool JOIN d_memories USING (memory_id) GROUP BY 1""")
+@query(_POOL + """SELECT model_id, model_id <> 0 AND NOT bool_or(hidden OR retracted OR coalesce(valid_until <= TIMESTAMP '2024-02-15 00:00:00', false)) AS current
+FROM pool JOIN d_memories USING (memory_id) GROUP BY 1 UNION ALL SELECT 99, false""")
 def current_answers(spark, d):
+    """Model 0 also cites a memory that is gone from the table, model 99 none."""
     gone = F.col("hidden") | F.col("retracted") | F.coalesce(F.col("valid_until") <= F.lit(NOW).cast("timestamp"), F.lit(False))
-    return U.current_answers(_pool(spark, d), derived(spark, d, "d_memories"), gone)
+    pool = _pool(spark, d)
+    cites = pool.select("model_id", "memory_id").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("model_id"), F.lit(-1).cast("long").alias("memory_id")))
+    models = pool.select("model_id").distinct().union(spark.range(1).select(F.lit(99).cast("long")))
+    return U.current_answers(models, cites, derived(spark, d, "d_memories"), gone)
 
 
 @query("""
@@ -254,7 +258,11 @@ def stream_week_counts(spark, d):
     return stream_counts(rows, "7 days", "1 day").select("bank_id", F.to_date("start").alias("day"), "kind", "accesses")
 
 
-@query()
+@query("""
+WITH t AS (SELECT bank_id, epoch_us(message_at) AS s FROM d_messages), g AS (SELECT *, CASE WHEN s < lag(s) OVER (PARTITION BY bank_id ORDER BY s) + 86400000000 THEN 0 ELSE 1 END AS new FROM t),
+i AS (SELECT *, sum(new) OVER (PARTITION BY bank_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g)
+SELECT bank_id, min(s) AS start_us, max(s) + 86400000000 AS end_us, count(*) AS turns FROM i GROUP BY bank_id, island
+""")
 def stream_activity(spark, d):
     rows = derived(spark, d, "d_messages").select("bank_id", F.col("message_at").cast("timestamp").alias("message_at"))
-    return stream_bank_activity(rows)
+    return stream_bank_activity(rows).select("bank_id", S.micros("start").alias("start_us"), S.micros("end").alias("end_us"), "turns")
