@@ -51,15 +51,15 @@ def _entropy(text: str) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
-def lexical(url: pd.Series, host: pd.Series, path: pd.Series, shares: dict[str, float]) -> np.ndarray:
+def lexical(url: pd.Series, host: pd.Series, path: pd.Series, share: pd.Series) -> np.ndarray:
     """The lexical features of each url, one column per name of ``FEATURES``."""
     rows = []
-    for u, h, p in zip(url.fillna(""), host, path, strict=True):
+    for u, h, p, s in zip(url.fillna(""), host, path, share, strict=True):
         query = u.partition("#")[0].partition("?")[2]
         labels, last = h.split("."), p.rstrip("/").rpartition("/")[2]
         rows.append((
             len(u), p.count("/"), sum(c.isdigit() for c in u) / (len(u) or 1), _entropy(u), query.count("=") + query.count("&"), len(labels), len(h),
-            sum(c.isdigit() for c in h), h.count("-") + p.count("-"), len(last), len(labels[-1]), shares.get(labels[-1], 0.0), max(map(len, labels)), "#" in u, u.startswith("https"),
+            sum(c.isdigit() for c in h), h.count("-") + p.count("-"), len(last), len(labels[-1]), s, max(map(len, labels)), "#" in u, u.startswith("https"),
         ))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
@@ -71,23 +71,24 @@ def judged(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataF
     where their log-odds are 0 or more. They are fitted on the urls that a rule
     labels (at most ``train_rows``, least hashes first, so the same table gives
     the same trees), without sight of the rules. The shares of the host suffixes
-    are counted over all rows; only the 1,000 most frequent are sent to tasks.
+    are counted over all rows and joined to them.
     Null urls and urls without ``://`` have empty host and path; without any
     labelled url the trees allow everything.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("label"))
-    suffix = F.substring_index("host", ".", -1)
-    counts = rows.groupBy(suffix.alias("suffix")).count().orderBy(F.desc("count"), "suffix").limit(1_000).collect()
-    total = sum(r["count"] for r in counts) or 1
-    shares = {r["suffix"]: r["count"] / total for r in counts}
-    known = rows.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(train_rows).select("url", "host", "path", "label").toPandas()
-    trees = fit(lexical(known["url"], known["host"], known["path"], shares), (known["label"] == "allow").to_numpy(float)) if len(known) else Trees(0.0, np.empty((0, 1), int), np.empty((0, 1)), np.empty((0, 2)))
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
+    counts = rows.groupBy("suffix").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    shares = counts.crossJoin(total).select("suffix", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
+    rows = rows.join(shares, "suffix").drop("suffix")
+    known = rows.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url").limit(train_rows).select("url", "host", "path", "share", "label").toPandas()
+    trees = fit(lexical(known["url"], known["host"], known["path"], known["share"]), (known["label"] == "allow").to_numpy(float)) if len(known) else Trees(0.0, np.empty((0, 1), int), np.empty((0, 1)), np.empty((0, 2)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            score = trees.score(lexical(b["url"], b["host"], b["path"], shares))
+            score = trees.score(lexical(b["url"], b["host"], b["path"], b["share"]))
             method = np.where(score >= 0, "allow", "block")
             yield b[["page_id", "host", "path", "rule"]].assign(verdict=b["label"].where(b["label"].notna(), method), score=score)
 
