@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anamnesis.operators import strength as S
-from anamnesis.operators.upkeep import phrase
+from anamnesis.operators.recall import tokens
+from anamnesis.operators.upkeep import phrases_found
 
 PER_FACET, CANDIDATES = 20, 30
 _VOLATILITY = ("hours", "days", "weeks", "months", "years")
@@ -27,12 +28,11 @@ def folded(text: pd.Series) -> pd.Series:
 def named_in(passages: DataFrame, aliases: DataFrame, survivors: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(passage_id, entity_id): entities whose alias stands in the passage as whole words, case and diacritics apart, resolved through merges, less ``excluded``.
 
-    Matches are found by an alias's first word in the passage's bank, then verified.
+    Passages and aliases meet within their bank.
     """
-    said = passages.select("passage_id", "bank_id", phrase(folded("text")).alias("said"))
-    words = said.select("passage_id", "bank_id", "said", F.explode(F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))).alias("word"))
-    named = aliases.select("entity_id", "bank_id", phrase(folded("alias")).alias("called")).withColumn("word", F.get(F.filter(F.split("called", " "), lambda w: w != ""), F.lit(0))).where("word IS NOT NULL")
-    hits = words.join(named, ["bank_id", "word"]).where(F.contains("said", "called")).join(survivors, "entity_id").select("passage_id", F.col("survivor_id").alias("entity_id")).distinct()
+    words = lambda c: tokens(folded(c))
+    hits = phrases_found(passages.select("passage_id", "bank_id", words("text").alias("words")), aliases.select("entity_id", "bank_id", words("alias").alias("words")), ["bank_id"])
+    hits = hits.join(survivors, "entity_id").select("passage_id", F.col("survivor_id").alias("entity_id")).distinct()
     return hits.join(excluded, "entity_id", "left_anti").select("passage_id", "entity_id") if excluded is not None else hits
 
 

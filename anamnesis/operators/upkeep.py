@@ -33,16 +33,29 @@ def corroborate_used(accesses: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.join(first, "head_id", "left").withColumn("state", F.when(held, "pending").otherwise("counted")).drop("_first")
 
 
-def phrase(text: Column) -> Column:
-    """Words in lower case with single spaces, one at either end too."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+def _pairs(words: Column) -> Column:
+    """Neighbouring words, as phrases of two."""
+    return F.transform(F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+
+
+def phrases_found(passages: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFrame:
+    """(passage_id, entity_id): where ``aliases(.., words)`` stand in ``passages(.., words)`` as whole words, within the columns ``scope``.
+
+    They meet by the alias's first two words, or its one; only longer aliases are
+    verified against the passage, which is joined again for that.
+    """
+    said = passages.select("passage_id", *scope, F.explode(F.array_distinct(F.concat("words", _pairs(F.col("words"))))).alias("key"))
+    called = aliases.where(F.size("words") > 0).select("entity_id", *scope, "words", F.array_join(F.slice("words", 1, 2), " ").alias("key")).distinct()
+    hits = said.join(called, [*scope, "key"]).select("passage_id", "entity_id", "words").distinct()
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    texts = passages.select("passage_id", spaced(F.col("words")).alias("said"))
+    longer = hits.where(F.size("words") > 2).join(texts, "passage_id").where(F.contains(F.col("said"), spaced(F.col("words"))))
+    return hits.where(F.size("words") <= 2).select("passage_id", "entity_id").union(longer.select("passage_id", "entity_id")).distinct()
 
 
 def entities_named(passages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(passage_id, entity_id): aliases that occur as whole words; joined on the first word, then verified."""
-    words = passages.select("passage_id", phrase(F.col("text")).alias("said"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    named = aliases.select("entity_id", phrase(F.col("alias")).alias("called"), F.get(tokens(F.col("alias")), F.lit(0)).alias("word")).where("word IS NOT NULL")
-    return words.join(named, "word").where(F.contains("said", "called")).select("passage_id", "entity_id").distinct()
+    """(passage_id, entity_id): aliases that occur as whole words."""
+    return phrases_found(passages.select("passage_id", tokens(F.col("text")).alias("words")), aliases.select("entity_id", tokens(F.col("alias")).alias("words")), [])
 
 
 def entity_summary(links: DataFrame, live: Column) -> DataFrame:
