@@ -115,14 +115,23 @@ def facet_curves(labelled: DataFrame, cited: DataFrame) -> tuple[DataFrame, Data
 # -- projections -----------------------------------------------------------------
 
 
-def value_at(at_us: np.ndarray, clock: np.ndarray, weight: np.ndarray, days: float, sig: float, occasions: int, tuning: S.Tuning = S.TUNING) -> float:
+def decays(clock: np.ndarray, weight: np.ndarray, tuning: S.Tuning = S.TUNING) -> np.ndarray:
+    """Each access's decay, which depends on those before it only: min(d_max, a + c * what was there)."""
+    out = np.empty(len(clock))
+    for j in range(len(clock)):
+        before = float((weight[:j] * np.maximum(clock[j] - clock[:j], tuning.min_age_days) ** -out[:j]).sum())
+        out[j] = min(tuning.d_max, tuning.a + tuning.c * before)
+    return out
+
+
+def value_at(at_us: np.ndarray, clock: np.ndarray, weight: np.ndarray, days: float, sig: float, occasions: int, tuning: S.Tuning = S.TUNING, decay: np.ndarray | None = None) -> float:
     """Strength when the bank's clock stands at ``days``, over the accesses before it."""
-    before = clock <= days
+    decay = decays(clock, weight, tuning) if decay is None else decay
+    n = int(np.searchsorted(clock, days, "right"))
     floor = tuning.tau - tuning.g * np.log(tuning.n0) + tuning.g * np.log(occasions) if occasions else -np.inf
-    if not before.any():
+    if not n:
         return -np.inf
-    still = S.Tuning(**{**tuning.__dict__, "quiet_rate": 1.0})
-    use = S.recent_use((clock[before] * S.DAY).astype(np.int64), clock[before] * S.DAY, weight[before], int(days * S.DAY), days * S.DAY, still)
+    use = float(np.log((weight[:n] * np.maximum(days - clock[:n], tuning.min_age_days) ** -decay[:n]).sum()))
     return tuning.s * sig + max(use, floor)
 
 
@@ -168,7 +177,8 @@ def projections(timed: DataFrame, threshold: float, tuning: S.Tuning = S.TUNING)
     def one(rows: pd.DataFrame) -> tuple[float | None, float | None]:
         clock, weight = rows["clock"].to_numpy(), rows["weight"].to_numpy()
         sig, n, now = float(rows["sig"].iloc[0]), int(rows["occasions"].iloc[0]), float(rows["now_clock"].iloc[0])
-        at = lambda d: value_at(clock, clock, weight, d, sig, n, tuning)
+        decay = decays(clock, weight, tuning)
+        at = lambda d: value_at(clock, clock, weight, d, sig, n, tuning, decay)
         lasting = tuning.s * sig + tuning.tau - tuning.g * np.log(tuning.n0) + tuning.g * np.log(max(n, 1))
         ahead = projected_days(lambda d: at(now + d), lasting, threshold)
         past = None
