@@ -7,10 +7,14 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: Numbers of files up to this many are broadcast; more are joined as any table.
+FILES_BROADCAST = 100_000
+#: Rows that a file may have.
+ROWS_PER_FILE = 1 << 36
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,6 +111,19 @@ def placed(docs: DataFrame) -> tuple[DataFrame, str, str]:
         return placed(staged(docs, "input"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows(file, row, ...)`` with an ``id`` of their own: the file's number and the row, no hash.
+
+    The files are numbered in one task: they are no more than those that the driver
+    lists to plan the scan.
+    """
+    files = rows.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("no"))
+    files = staged(files, "files")
+    if files.count() <= FILES_BROADCAST:
+        files = F.broadcast(files)
+    return rows.join(files, "file").withColumn("id", F.col("no") * ROWS_PER_FILE + F.col("row")).drop("no")
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_per_partition: int) -> int:
     """Enough partitions for ``rows``, at least the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_partition), 1)

@@ -20,9 +20,11 @@ length - j bytes to the right, and both are prefix groups of a sorted order, so
 repeated windows come from counting equal pairs of group numbers. Nothing is
 decided by hashes, except in the way for very frequent anchors.
 
-An anchor with more than ``frequent`` different surroundings is not gathered in one task:
-each of its windows is keyed by a 128-bit hash and the keys are counted by
-grouping, which spreads over all tasks and sums before the shuffle.
+An anchor's k-gram with more than ``frequent`` different surroundings, judged over all
+the bytes an entry holds, or more than ``frequent * PLACES`` places is not gathered in
+one task: each of its windows is keyed by a 128-bit hash and the keys are counted by
+grouping, which spreads over all tasks and sums before the shuffle. Before that, rows
+are counted and joined by their k-gram in ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -32,16 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import located, staged
+from .common import located, numbered, staged
 from .textvec import mix, pieces, prefix_sums, span_hash
 
 LENGTH = 200
 GRAM = 50
 #: Different surroundings from which an anchor's windows are counted by grouping.
 FREQUENT = 200_000
+#: Places that take as much memory as an entry of one surrounding, at least.
+PLACES = 25
+#: Parts in which the rows of one k-gram are counted and joined.
+SALTS = 64
 #: Suffixes that a range of the order holds on average.
 RANGE_ROWS = 60_000
 
@@ -61,11 +67,12 @@ def _sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(position, k-gram hash, hash to the left, hash to the right) of a text's anchors.
+    """(position, k-gram hash, hash to the left, to the right, of all around) of a text's anchors.
 
     A window around an anchor reaches half of its other bytes to the left of
     the k-gram or to the right, so a repeated window has the k-gram with that
-    half repeated; where the text ends before, the hash is 0.
+    half repeated; where the text ends before, the hash is 0. The last hash is that
+    of the bytes that an entry holds, and of how many there are on either side.
     """
     sums, inverse = prefix_sums(data)
     start = np.arange(len(data) - gram + 1)
@@ -77,11 +84,14 @@ def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     left[can] = span_hash(sums, inverse, at[can] - half, at[can] + gram)
     can = at + gram + half <= len(data)
     right[can] = mix(span_hash(sums, inverse, at[can], at[can] + gram + half))
-    return at, hashed[at], left, right
+    first, last = np.maximum(at - (length - gram), 0), np.minimum(at + length, len(data))
+    ends = ((at - first) << 32 | (last - at)).astype(np.uint64)
+    around = mix(span_hash(sums, inverse, first, last) ^ mix(ends))
+    return at, hashed[at], left, right, around
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, n_bytes, sha, at, gram, left, right): one row per text, anchors as arrays."""
+    """(id, n_bytes, sha, at, gram, left, right, around): one row per text, anchors as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +105,15 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         at.append(anchors_of(text, length, gram))
                     ends.append(ends[-1] + (len(at[-1][0]) if len(text) >= length else 0))
                 ends = pa.array(ends, pa.int32())
-                flat = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0, np.uint64)] * 4
+                flat = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0, np.uint64)] * 5
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32) if k == 0 else x.view(np.int64))) for k, x in enumerate(flat)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(first, last - first), pa.array(size, pa.int64()), pa.array(sha), *lists],
-                    ["id", "n_bytes", "sha", "at", "gram", "left", "right"],
+                    ["id", "n_bytes", "sha", "at", "gram", "left", "right", "around"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_bytes long, sha string, at array<int>, gram array<long>, left array<long>, right array<long>")
+    schema = "id long, n_bytes long, sha string, at array<int>, gram array<long>, left array<long>, right array<long>, around array<long>"
+    return docs.select("id", "text").mapInArrow(run, schema)
 
 
 # -- runs: front coding, exchange and merge ---------------------------------
@@ -194,7 +205,7 @@ def merged_runs(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int
         top = i
 
 
-def _run_rows(found: DataFrame, length: int, gram: int, ranges: int, frequent: int) -> DataFrame:
+def _run_rows(found: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
     """Front-coded runs (range, shared, rest, places) of the texts' suffixes, or keys of frequent anchors' windows."""
     left = length - gram
     width = 8 + length + left + 4
@@ -238,7 +249,7 @@ def _run_rows(found: DataFrame, length: int, gram: int, ranges: int, frequent: i
                 text = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
                 at = np.array([a["at"] for a in anchors], np.int64)
                 grams = np.array([a["gram"] for a in anchors], np.int64).view(np.uint64)
-                often = np.array([a["f"] for a in anchors], np.int64) > frequent
+                often = np.array([a["often"] for a in anchors], bool)
                 if often.any():
                     yield from _window_keys(text, doc, at[often], length, gram)
                     at, grams = at[~often], grams[~often]
@@ -372,21 +383,34 @@ def _removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(lists, "id").select("id", "text", "starts", "ends").mapInArrow(run, "id long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` another row has too; those of one key meet in ``SALTS`` parts only."""
+    rows = rows.withColumn("salt", _salt())
+    parts = rows.groupBy(key, "salt").agg(F.count("*").alias("n"))
+    many = parts.withColumn("f", F.sum("n").over(Window.partitionBy(key))).where("f > 1").select(key, "salt")
+    return rows.join(many, [key, "salt"]).drop("salt")
+
+
 def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(id, start, end) byte spans covered by repeated windows; they may overlap."""
-    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "left", "right")).alias("a")).select("id", "a.*")
-    often = each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1").select("gram")
-    again = staged(each.join(often, "gram"), "repeats-again")
-    keyed = again.select("id", "at", "gram", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
-    more = keyed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
-    keyed = staged(keyed.join(more, "key").select("id", "at", "gram").distinct(), "repeats-keyed")
-    # equal surroundings are one entry of a run, so only different ones make an anchor frequent
-    differing = again.select("gram", "left", "right").distinct().groupBy("gram").agg(F.count("*").alias("f"))
-    again = keyed.join(differing, "gram").select("id", F.struct("at", "gram", "f").alias("a"))
+    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "left", "right", "around")).alias("a")).select("id", "a.*")
+    again = staged(_repeated(each, "gram"), "repeats-again")
+    keyed = again.select("id", "at", "gram", "around", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
+    keyed = staged(_repeated(keyed, "key").select("id", "at", "gram", "around").distinct(), "repeats-keyed")
+    # equal surroundings are one entry of a run, with its places
+    kinds = keyed.groupBy("gram", "around").agg(F.count("*").alias("n"))
+    often = kinds.groupBy("gram").agg(F.count("*").alias("f"), F.sum("n").alias("n")).where((F.col("f") > frequent) | (F.col("n") > frequent * PLACES))
+    often = often.select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("often"))
+    again = keyed.withColumn("salt", _salt()).join(often, ["gram", "salt"], "left")
+    again = again.select("id", F.struct("at", "gram", F.coalesce("often", F.lit(False)).alias("often")).alias("a"))
     found = staged(again.groupBy("id").agg(F.collect_list("a").alias("anchors")), "repeats-anchors")
     total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
-    runs = staged(_run_rows(docs.join(found, "id").select("id", "text", "anchors"), length, gram, ranges, frequent), "repeats-runs")
+    runs = staged(_run_rows(docs.join(found, "id").select("id", "text", "anchors"), length, gram, ranges), "repeats-runs")
     merged = runs.where("range IS NOT NULL").groupBy("range").applyInArrow(_merged_spans(length, gram), "id long, start long, end long")
     windows = runs.where("key IS NOT NULL").select("key", "id", "at", "j")
     twice = windows.select("key", "id", (F.col("at") - F.col("j")).alias("start")).distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -406,13 +430,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, freq
     their place in the input files, so repeated rows and null or repeated ids
     are texts of their own. An empty table gives no rows.
     """
-    rows = located(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("file", "row").alias("id"))
+    rows = numbered(located(docs.select("doc_id", "text"))).select("doc_id", "text", "id")
     sha = staged(_anchor_rows(rows, length, gram), "repeats-texts")
     # equal texts: one of them stands for all in the sorting
     first = sha.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     unique = first.where("copies = 1").select("id")
-    spans = repeated_spans(rows, sha.join(first.select("id"), "id", "left_semi").select("id", "at", "gram", "left", "right"), length, gram, frequent)
+    spans = repeated_spans(rows, sha.join(first.select("id"), "id", "left_semi").select("id", "at", "gram", "left", "right", "around"), length, gram, frequent)
     spans = spans.join(unique, "id", "left_semi")
     removed = staged(_removed(rows, spans), "repeats-removed")
     copied = first.where("copies > 1").select("sha", F.col("copies"))

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from anamnesis.llm.common import located, numbered
 from anamnesis.llm.repeats import merged_runs, remove_repeats
 
 
@@ -63,3 +64,23 @@ def test_merge_gives_order_and_shared_prefixes():
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_passage_among_different_texts_and_one_among_equal_ones(spark):
+    """A frequent k-gram, by what stands farther off than half a window or by its places, is keyed by grouping."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, page = text(55), text(140)
+    rows = [(i, text(30) + passage + text(30)) for i in range(40)]
+    rows += [(100 + i, text(3) + page + text(3)) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 40)
+    for frequent in (100_000, 4):
+        assert sorted((tuple(r) for r in remove_repeats(docs, 40, 12, frequent).collect()), key=str) == want
+
+
+def test_rows_are_numbered_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "x")] * 50, "doc_id long, text string").repartition(7)
+    for most in (100_000, 0):
+        monkeypatch.setattr("anamnesis.llm.common.FILES_BROADCAST", most)
+        assert numbered(located(docs)).select("id").distinct().count() == 50
