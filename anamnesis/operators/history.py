@@ -31,6 +31,51 @@ def pair_turns(messages: DataFrame) -> DataFrame:
     )
 
 
+def has_tool_calls(calls: Column) -> Column:
+    """Whether a reply's calls, as JSON, hold any; text that is no JSON counts as some, null, [] and nothing as none."""
+    said = F.trim(F.coalesce(calls, F.lit("")))
+    length = F.json_array_length(calls)
+    return F.when(length.isNotNull(), length > 0).otherwise(~said.isin("", "null"))
+
+
+def import_turns(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, segment, clear, at, query, previous_query, synthetic, synced, reply, reply_at): a history's turns and cuts.
+
+    ``sessions`` are the chosen ones with their class, ``messages`` the active ones.
+    A user row opens a turn, a summary row cuts the session (``clear``). The last
+    reply before the next opening that is not only tool calls closes a turn; it is
+    synced in a primary session unless the message was not typed. Rows before the
+    first opening, and replies after a cut, belong to no turn.
+    """
+    own = W.partitionBy("session_id").orderBy("timestamp", "id")
+    rows = messages.join(sessions.select(F.col("id").alias("session_id"), "class"), "session_id")
+    summary = F.coalesce("_compressed_summary", F.lit(0)) != 0
+    opens = summary | (F.col("role") == "user")
+    rows = rows.withColumn("segment", F.sum(F.when(opens, 1).otherwise(0)).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    opening = F.max(F.when(opens, F.struct(summary.alias("clear"), F.col("timestamp").alias("at"), F.coalesce("content", F.lit("")).alias("query"), "display_kind")))
+    replies = ~opens & (F.col("role") == "assistant") & ~has_tool_calls(F.col("tool_calls"))
+    reply = F.max_by(F.when(replies, F.struct(F.coalesce("content", F.lit("")).alias("text"), F.col("timestamp").alias("at"))), F.when(replies, F.struct("timestamp", "id")))
+    found = rows.where("segment > 0").groupBy("session_id", "class", "segment").agg(opening.alias("o"), reply.alias("r"))
+    found = found.select("session_id", "class", "segment", "o.*", F.when(~F.col("o.clear"), F.col("r")).alias("r"))
+    synthetic = ~F.col("clear") & F.coalesce(F.col("display_kind") != "steer", F.lit(False))
+    synced = (F.col("class") == "primary") & F.col("r").isNotNull() & ~synthetic
+    turns = W.partitionBy("session_id", "clear").orderBy("segment")
+    return found.select(
+        "session_id", "segment", "clear", "at", F.when(~F.col("clear"), F.col("query")).alias("query"), F.when(~F.col("clear"), F.lag("query").over(turns)).alias("previous_query"),
+        synthetic.alias("synthetic"), synced.alias("synced"), F.when(synced, F.col("r.text")).alias("reply"), F.when(synced, F.greatest("r.at", "at")).alias("reply_at"),
+    )
+
+
+def import_turn_counts(turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """(counter, n) over ``import_turns`` and the active messages of its sessions."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    a = turns.agg(n(F.col("synced")).alias("turns"), n(~F.col("clear") & ~F.col("synced")).alias("prefetch_only"), n(F.col("synthetic")).alias("synthetic"), n(F.col("clear")).alias("compactions"))
+    summary = F.coalesce("_compressed_summary", F.lit(0)) != 0
+    other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) | ((F.col("role") == "assistant") & has_tool_calls(F.col("tool_calls")))
+    b = messages.agg(n(~summary & other).alias("tool_rows"))
+    return a.unpivot([], a.columns, "counter", "n").unionByName(b.unpivot([], b.columns, "counter", "n"))
+
+
 def previous_query(messages: DataFrame) -> DataFrame:
     """(session_id, turn, text, previous): each user message and the one before it in its session."""
     users = messages.where(F.col("role") == "user")

@@ -62,6 +62,35 @@ def audit_lists(edits: DataFrame, memories: DataFrame, most: int) -> DataFrame:
     return rows.select("bank_id", "kind", "edit_id", "number", F.size("ids").alias("memories"), pending.alias("pending"))
 
 
+def bank_attention(health: DataFrame, rebuilds: DataFrame, stored: str | None = None, current: str | None = None) -> DataFrame:
+    """(bank_id, attention): a line for each thing to look at; null bank_id for what concerns all.
+
+    ``health`` is that of ``bank_health``, ``rebuilds(bank_id, completed, acked)``.
+    Purging is paused while the ``current`` deletion fingerprint is not the ``stored``.
+    """
+    lines = health.where("attention <> ''").select("bank_id", F.explode(F.split("attention", "; ")).alias("attention"))
+    say = F.when(F.col("completed"), "its rebuild is complete and its sweep waits").otherwise("its memories are being rebuilt, so recall is off")
+    lines = lines.unionByName(rebuilds.where("NOT acked").select("bank_id", say.alias("attention")))
+    if stored is not None and stored != current:
+        pause = f"purge is paused: the deletion fingerprint changed from {stored} to {current}"
+        lines = lines.unionByName(health.limit(1).select(F.lit(None).cast(health.schema["bank_id"].dataType).alias("bank_id"), F.lit(pause).alias("attention")))
+    return lines
+
+
+def newest(rows: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """Each bank's ``most`` newest rows with their number: sweeps, recalls, edits of one kind."""
+    own = W.partitionBy("bank_id").orderBy(F.desc(at), F.desc(key))
+    return rows.withColumn("number", F.row_number().over(own)).where(F.col("number") <= most)
+
+
+def recall_lists(recalls: DataFrame, results: DataFrame, memories: DataFrame, most: int) -> DataFrame:
+    """Each bank's newest recalls with ``results``: by rank, the memories that are still there."""
+    there = newest(recalls, "at", "recall_id", most)
+    got = results.join(memories.select("memory_id"), "memory_id", "left_semi").join(there.select("recall_id"), "recall_id")
+    got = got.groupBy("recall_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "memory_id"))), lambda r: r["memory_id"]).alias("results"))
+    return there.join(got, "recall_id", "left").withColumn("results", F.coalesce("results", F.array().cast(got.schema["results"].dataType)))
+
+
 def fade_outs(snapshots: DataFrame, tuning: S.Tuning = S.TUNING) -> DataFrame:
     """(bank_id, week, fade_outs): how many memories crossed into faded from one daily snapshot to the next, by ISO week."""
     own = W.partitionBy("bank_id", "memory_id").orderBy("taken_at")

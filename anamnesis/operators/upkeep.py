@@ -111,6 +111,13 @@ def list_memories(memories: DataFrame, order: list[Column], size: int, page: int
     return numbered.where(F.col("number") > page * size)
 
 
+def status_totals(memories: DataFrame, status: Column, chosen: list[str] | None = None) -> DataFrame:
+    """(status, memories, total): a listing's rows by status before the choice of status, and how many are chosen."""
+    rows = memories.groupBy(status.alias("status")).agg(F.count("*").alias("memories"))
+    taken = F.col("status").isin(*chosen) if chosen else F.lit(True)
+    return rows.withColumn("total", F.coalesce(F.sum(F.when(taken, F.col("memories"))).over(W.partitionBy()), F.lit(0)))  # one row per status
+
+
 def week_bands(snapshots: DataFrame) -> DataFrame:
     """(bank_id, week, band, memories): each memory's last snapshot of an ISO week, Monday named."""
     week = F.date_trunc("week", F.col("taken_at")).cast("date")
@@ -125,6 +132,25 @@ def report_diff(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> D
     return both.where(F.col("before").isNull() | F.col("after").isNull() | (F.abs(F.col("before") - F.col("after")) > tolerance * scale))
 
 
+def probe_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, before, after) of the probes of two reports that did not end alike, a missing side null."""
+    both = left.select("id", F.col("passed").alias("before")).join(right.select("id", F.col("passed").alias("after")), "id", "full_outer")
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def fate_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, difference) over two reports' (id, faded, purged): what only one of them made, faded or purged."""
+    side = lambda df, n: df.select("id", F.struct("faded", "purged").alias(n))
+    both = side(left, "a").join(side(right, "b"), "id", "full_outer")
+    found = []
+    for one, other in (("a", "b"), ("b", "a")):
+        found.append(F.when(F.col(other).isNull(), F.lit(f"only_in_{one}")))
+        for fate in ("faded", "purged"):
+            mine, theirs = (F.coalesce(F.col(f"{x}.{fate}"), F.lit(False)) for x in (one, other))
+            found.append(F.when(mine & ~theirs, F.lit(f"{fate}_only_in_{one}")))
+    return both.select("id", F.explode(F.array_compact(F.array(*found))).alias("difference"))
+
+
 def top_recall(scored: DataFrame, k: int = 8) -> DataFrame:
     """(sample, found, relevant): relevant candidates among a sample's k best and in all."""
     order = W.partitionBy("sample").orderBy(F.desc("score"), "memory_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 SESSION = {"id": "string", "source": "string", "parent_session_id": "string", "started_at": "double"}
 MESSAGE = {"id": "bigint", "session_id": "string", "role": "string", "content": "string", "timestamp": "double", "active": "bigint", "compacted": "bigint"}
+#: Columns that older histories lack; there they are null.
+LATER = {"_compressed_summary": "bigint", "tool_calls": "string", "display_kind": "string"}
 # Session sources that carry no conversation.
 NOT_CONVERSATIONS = ("kanban", "subagent", "tool", "oneshot")
 EVENTS = "type string, at string, seq long, session string, body string"
@@ -21,8 +23,26 @@ def checked(rows: DataFrame, wanted: dict[str, str], name: str) -> DataFrame:
     return rows
 
 
-def read_history(spark: SparkSession, sessions: str, messages: str) -> tuple[DataFrame, DataFrame]:
-    return checked(spark.read.parquet(sessions), SESSION, "sessions"), checked(spark.read.parquet(messages), MESSAGE, "messages")
+def read_history(spark: SparkSession, sessions: str, messages: str, form: str = "parquet", **options: str) -> tuple[DataFrame, DataFrame]:
+    """The sessions and messages of a history, with checked columns.
+
+    ``form`` is parquet, json (one object a line) or jdbc, where both are names of
+    tables and ``options`` say how to connect.
+    """
+
+    def one(place: str, wanted: dict[str, str], name: str) -> DataFrame:
+        if form == "json":
+            # columns that no line holds must fail as in the other forms
+            found = spark.read.json(place)
+            typed = [F.col(c).cast(t).alias(c) for c, t in wanted.items() if c in found.columns]
+            typed += [F.col(c).cast(t).alias(c) for c, t in LATER.items() if c in found.columns and wanted is MESSAGE]
+            return checked(found.select(*typed), wanted, name)
+        rows = spark.read.format("jdbc").options(**options).option("dbtable", place).load() if form == "jdbc" else spark.read.parquet(place)
+        return checked(rows, wanted, name)
+
+    rows = one(messages, MESSAGE, "messages")
+    rows = checked(rows.withColumns({c: F.lit(None).cast(t) for c, t in LATER.items() if c not in rows.columns}), LATER, "messages")
+    return one(sessions, SESSION, "sessions"), rows
 
 
 def select_sessions(sessions: DataFrame) -> DataFrame:
@@ -32,6 +52,7 @@ def select_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def active_messages(messages: DataFrame) -> DataFrame:
+    """Messages that are part of their session; its order is that of (timestamp, id)."""
     return messages.where("active = 1 OR compacted = 1")
 
 
