@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, mixing, packing, pii, preference_chat, quality, repeats, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, mixing, packing, pii, preference_chat, prefix_trie, quality, repeats, url_filter
 from .common import table
 
 
@@ -59,11 +59,15 @@ def op11_sum_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_mix_sources, op3_exact_dedup, op4_pii_surrogates, op5_preference_chat,
         op6_quality, op7_jaccard_join, op8_main_text, op9_url_filter, op10_remove_repeats,
-        op11_sum_squares_packing,
+        op11_sum_squares_packing, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
