@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, mixing, packing, pii, preference_chat, prefix_trie, quality, repeats, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard_join, mixing, packing, phrases, pii, preference_chat, prefix_trie, quality, repeats, url_filter
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_sum_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -67,7 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_mix_sources, op3_exact_dedup, op4_pii_surrogates, op5_preference_chat,
         op6_quality, op7_jaccard_join, op8_main_text, op9_url_filter, op10_remove_repeats,
-        op11_sum_squares_packing, op13_prefix_trie,
+        op11_sum_squares_packing, op12_collocations, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -113,5 +117,34 @@ FROM c LEFT JOIN o USING (pair_id) LEFT JOIN q USING (pair_id)
 """
 
 
+_OP12 = """
+WITH t AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents
+), p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\\x20\\x09]+') AS w FROM t
+), q AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), f AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+  FROM q CROSS JOIN (VALUES (1), (2), (3)) AS lengths(m) WHERE i + m - 1 <= len(w) GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, m, f AS a FROM f WHERE m > 1 AND f >= 10
+), k AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), s AS (
+  SELECT lang, phrase, max(a) AS over FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE m = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE m = 3) GROUP BY ALL
+), o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase AND b.m = 2 WHERE s.over IS NULL OR 100 * s.over < 50 * b.a
+)
+SELECT o.lang, rank, phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3, "op5_preference_chat": _OP5}
+    return {"op12_collocations": _OP12, "op3_exact_dedup": _OP3, "op5_preference_chat": _OP5}
