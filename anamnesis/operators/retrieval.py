@@ -91,14 +91,32 @@ def injection_filter(rows: DataFrame, context: DataFrame, tuning: S.Tuning = S.T
     return rows.where(F.col("value") >= tuning.tau).join(context.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
 
 
-def recall_filter(kinds: list[str] | None = None, phases: list[str] | None = None, said: tuple[str, str] | None = None, happened: tuple[str, str] | None = None) -> Column:
-    """A condition on (kind, phase, observed_at, valid_from, valid_until, valid_end, low_confidence).
+def happened_span(memories: DataFrame) -> tuple[Column, Column]:
+    """When a memory's window holds: from the first instant up to the second, null where it is open.
+
+    A fact without an end stands in the unit of its stated start alone; without a start no bound
+    of a range lets it in, as it begins in the year 9999 and ends in the year 1. A low-confidence window is one unit of its own dates wider on both sides.
+    """
+    zone, low = S._column(memories, "timezone", "UTC"), F.coalesce(F.col("low_confidence"), F.lit(False))
+    start, start_unit = F.col("valid_from").cast("timestamp"), S._column(memories, "valid_from_precision", "day")
+    until_unit = S._column(memories, "valid_until_precision", "day")
+    wider = lambda at, unit, n: F.when(low, S.shift(at, unit, zone, n)).otherwise(at)
+    point = (F.col("kind") == "fact") & F.col("valid_until").isNull()
+    nowhere = point & start.isNull()
+    late, early = (F.lit(x).cast("timestamp") for x in ("9999-12-31", "0001-01-01"))
+    ends_unit = F.when(F.col("valid_until").isNull(), start_unit).otherwise(until_unit)
+    begins = F.when(nowhere, late).otherwise(wider(start, start_unit, -1))
+    ends = F.when(nowhere, early).when(point, wider(S.unit_end(start, start_unit, zone), start_unit, 1)).otherwise(wider(S.closes_at(memories), ends_unit, 1))
+    return begins, ends
+
+
+def recall_filter(kinds: list[str] | None = None, phases: list[str] | None = None, said: tuple[str | None, str | None] | None = None, happened: tuple[str | None, str | None] | None = None) -> Column:
+    """A condition on (kind, phase, observed_at, begins, ends), the last two as ``dated`` adds them.
 
     ``current`` takes overdue in, ``past`` both pasts. ``said`` is inclusive.
-    ``happened`` asks for windows that overlap the range: ``valid_end`` is the end
-    of the window's last unit, a low-confidence window is a day wider on both
-    sides, an open end has no limit, and a fact without an end matches by its
-    stated start only; without any stated date nothing matches.
+    ``happened`` asks for windows that begin by the range's end and end after its
+    start; an open end of a window or of a range has no limit. Many ranges at once go
+    through ``happened_in``.
     """
     keep = F.lit(True)
     if kinds:
@@ -106,18 +124,63 @@ def recall_filter(kinds: list[str] | None = None, phases: list[str] | None = Non
     if phases:
         groups = {"current": ["current", "overdue"], "past": ["recently_past", "long_past"], "upcoming": ["upcoming"]}
         keep &= F.col("phase").isin(*[p for g in phases for p in groups[g]])
+    at = lambda x: F.lit(x).cast("timestamp")
     if said:
-        keep &= F.col("observed_at").cast("timestamp").between(F.lit(said[0]).cast("timestamp"), F.lit(said[1]).cast("timestamp"))
-    if happened:
-        lo, hi = (F.lit(x).cast("timestamp") for x in happened)
-        wide = F.when(F.col("low_confidence"), F.expr("INTERVAL 24 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
-        start, end = F.col("valid_from").cast("timestamp"), F.col("valid_end").cast("timestamp")
-        point = (F.col("kind") == "fact") & end.isNull()
-        overlap = F.coalesce(start - wide <= hi, F.lit(True)) & F.coalesce(end + wide > lo, F.lit(True))
-        keep &= (start.isNotNull() | end.isNotNull()) & F.when(point, (start + wide >= lo) & (start - wide <= hi)).otherwise(overlap)
+        for bound, test in zip(said, (F.col("observed_at").cast("timestamp") >= at(said[0]), F.col("observed_at").cast("timestamp") <= at(said[1])), strict=True):
+            keep &= test if bound else F.lit(True)
+    if happened and any(happened):
+        lo, hi = happened
+        keep &= F.coalesce(F.col("begins") <= at(hi), F.lit(True)) if hi else F.lit(True)
+        keep &= F.coalesce(F.col("ends") > at(lo), F.lit(True)) if lo else F.lit(True)
     return F.coalesce(keep, F.lit(False))
 
 
+#: Widths of buckets in powers of two of microseconds: from about a minute up to 9,000 years, each 16 times the one before.
+LEVELS = range(26, 62, 4)
+FAR = 1 << 61
+
+
+def happened_in(windows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query_id, memory_id): the windows that meet each query's range, for many ranges at once.
+
+    ``windows(memory_id, bank_id, begins, ends)`` as ``happened_span`` gives them,
+    ``ranges(query_id, bank_id, lo, hi)``; null ends are open. A window meets a range if it begins in it,
+    or if it holds the range's start. For the first, each window's beginning stands in one bucket per
+    level and a range looks at the level of its own length; for the second, a window stands in the buckets of
+    the level of its length, and a range's start looks at one bucket per level. Either side
+    takes at most 17 buckets a level whatever its length, and no pair is met twice.
+    """
+    bounded = lambda c, far: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(S.micros(c), F.lit(far))))
+    own = windows.select("memory_id", "bank_id", bounded("begins", -FAR).alias("b"), bounded("ends", FAR).alias("e"))
+    asked = ranges.select("query_id", "bank_id", bounded("lo", -FAR).alias("lo"), bounded("hi", FAR).alias("hi"))
+    fits = lambda size: reduce(lambda found, n: F.when(size <= 1 << n + 4, n).otherwise(found), reversed(LEVELS), F.lit(LEVELS[-1]))
+    bucket = lambda at, level: F.expr(f"shiftright({at}, {level})")
+    spread = lambda a, b: F.explode(F.sequence(bucket(a, "level"), bucket(b, "level"))).alias("bucket")
+    every = F.explode(F.array(*[F.lit(n) for n in LEVELS])).alias("level")
+    meets = (F.col("b") <= F.col("hi")) & (F.col("e") > F.col("lo"))
+    key = ["bank_id", "level", "bucket"]
+    starts = own.select("*", every).withColumn("bucket", bucket("b", "level"))
+    over = asked.withColumn("level", fits(F.col("hi") - F.col("lo"))).where("lo <= hi").select("*", spread("lo", "hi"))
+    inside = over.join(starts, key).where(meets & (F.col("b") > F.col("lo")))
+    held = own.where("b < e").withColumn("level", fits(F.col("e") - F.col("b"))).select("*", spread("b", "e - 1"))
+    at_start = asked.select("*", every).withColumn("bucket", bucket("lo", "level"))
+    around = at_start.join(held, key).where(meets & (F.col("b") <= F.col("lo")))
+    return inside.select("query_id", "memory_id").unionByName(around.select("query_id", "memory_id"))
+
+
+def entity_filter(named: DataFrame, links: DataFrame, entities: DataFrame, heads: DataFrame) -> DataFrame:
+    """(query_id, memory_id): memories of the entities ``named(query_id, bank_id, entity_id)``, and the heads of their chains.
+
+    Seeded entities count here, and so do those merged into a named one, at
+    any depth. A head counts as linked when any version of it is.
+    """
+    lasts = S.survivors(entities, "entity_id", "merged_into", "survivor_id")
+    wanted = named.join(lasts, "entity_id").select("query_id", "bank_id", "survivor_id").distinct()
+    direct = links.join(lasts, "entity_id").select("memory_id", "bank_id", "survivor_id").join(wanted, ["survivor_id", "bank_id"]).select("query_id", "memory_id")
+    through = direct.join(heads, "memory_id").select("query_id", F.col("head_id").alias("memory_id"))
+    return direct.unionByName(through).distinct()
+
+
 def lexical_logit(query: Column, sentence: Column) -> Column:
     """How many different words of the query the sentence has, less a half."""
     return F.size(F.array_intersect(F.array_distinct(tokens(query)), tokens(sentence))) - F.lit(0.5)
@@ -149,12 +212,12 @@ def score(logit: Column, value: Column, confidence: Column, phase: Column, weigh
 
 
 def dated(memories: DataFrame, now: str) -> DataFrame:
-    """Add the phase and the ends of units that ranking needs: phase, closes, due_end, valid_end."""
+    """Add the phase and the times that ranking and filters need: phase, closes, due_end, valid_end, begins, ends."""
     at, zone = F.lit(now).cast("timestamp"), S._column(memories, "timezone", "UTC")
     end = lambda c: S.unit_end(F.col(c).cast("timestamp"), S._column(memories, f"{c}_precision", "day"), zone)
     task = F.col("kind") == "task"
-    phase = S.phase(at, F.col("observed_at").cast("timestamp"), end("valid_from"), S.closes_at(memories), F.col("due_at").cast("timestamp"), end("due_at"), task)
-    return memories.select("*", phase.alias("phase"), S.closes_at(memories).alias("closes"), F.when(task, end("due_at")).alias("due_end"), end("valid_until").alias("valid_end"))
+    phase = S.phase(at, F.col("observed_at").cast("timestamp"), F.col("valid_from").cast("timestamp"), end("valid_from"), S.closes_at(memories), F.col("due_at").cast("timestamp"), end("due_at"), task)
+    return memories.select("*", phase.alias("phase"), S.closes_at(memories).alias("closes"), F.when(task, end("due_at")).alias("due_end"), end("valid_until").alias("valid_end"), *(c.alias(n) for c, n in zip(happened_span(memories), ("begins", "ends"), strict=True)))
 
 
 def arms(queries: DataFrame, memories: DataFrame, vectors: DataFrame, named: DataFrame | None = None, links: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:

@@ -284,18 +284,30 @@ def band(value: Column, tuning: Tuning = TUNING) -> Column:
     return F.when(value > tuning.strong, "strong").when(value >= tuning.tau, "fading").otherwise("faded")
 
 
+def shift(at: Column, precision: Column, timezone: Column, units: int = 1) -> Column:
+    """A time moved by units of its precision: years, months and days by the calendar of its timezone, hours and minutes by the clock.
+
+    A local time that a clock change leaves out is the one as long after the change;
+    of one that it gives twice, the first is meant.
+    """
+    of = lambda name: F.when(precision == name, units).otherwise(0)
+    calendar = F.to_utc_timestamp(F.from_utc_timestamp(at, timezone) + F.make_interval(years=of("year"), months=of("month"), days=of("day")), timezone)
+    return F.when(precision.isin("hour", "minute"), at + F.make_interval(hours=of("hour"), mins=of("minute"))).otherwise(calendar)
+
+
 def unit_end(at: Column, precision: Column, timezone: Column) -> Column:
-    """End of the calendar unit that a time starts, in its own timezone."""
-    local = F.from_utc_timestamp(at, timezone)
-    step = F.make_interval(years=(precision == "year").cast("int"), months=(precision == "month").cast("int"), days=(precision == "day").cast("int"), hours=(precision == "hour").cast("int"), mins=(precision == "minute").cast("int"))
-    return F.to_utc_timestamp(local + step, timezone)
+    """End of the unit that a time starts."""
+    return shift(at, precision, timezone)
+
 
+def phase(now: Column, observed: Column, starts: Column, starts_end: Column, closes: Column, due: Column, due_end: Column, is_task: Column, tuning: Tuning = TUNING) -> Column:
+    """upcoming, recently_past, long_past, overdue or current, the first that holds.
 
-def phase(now: Column, observed: Column, starts_end: Column, closes: Column, due: Column, due_end: Column, is_task: Column, tuning: Tuning = TUNING) -> Column:
-    """upcoming, recently_past, long_past, overdue or current, the first that holds."""
-    past = F.when(now < closes + F.expr(f"INTERVAL {tuning.recently_past_days} DAYS"), "recently_past").otherwise("long_past")
+    Upcoming is what was said before it started, until the unit of its start is over.
+    """
+    past = F.when(now < closes + F.expr(f"INTERVAL {tuning.recently_past_days * 24} HOURS"), "recently_past").otherwise("long_past")
     return (
-        F.when(starts_end.isNotNull() & (observed < starts_end - F.expr("INTERVAL 1 DAY")) & (now < starts_end), "upcoming")
+        F.when((observed < starts) & (now < starts_end), "upcoming")
         .when(closes <= now, past).when(is_task & (observed < due) & (now >= due_end), "overdue").otherwise("current")
     )
 

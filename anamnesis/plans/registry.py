@@ -112,7 +112,7 @@ def phase(spark, d):
     m, now, day, utc = derived(spark, d, "d_memories"), F.lit(NOW).cast("timestamp"), F.lit("day"), F.lit("UTC")
     end = lambda c: S.unit_end(c.cast("timestamp"), day, utc)
     closes = end(F.coalesce("valid_until", F.when(F.col("kind") == "event", F.col("valid_from"))))
-    return m.select("memory_id", S.phase(now, F.col("observed_at").cast("timestamp"), end(F.col("valid_from")), closes, F.col("due_at").cast("timestamp"), end(F.col("due_at")), F.col("kind") == "task").alias("phase"))
+    return m.select("memory_id", S.phase(now, F.col("observed_at").cast("timestamp"), F.col("valid_from").cast("timestamp"), end(F.col("valid_from")), closes, F.col("due_at").cast("timestamp"), end(F.col("due_at")), F.col("kind") == "task").alias("phase"))
 
 
 @query("""

@@ -70,18 +70,67 @@ def phase_term(spark, d):
     return rows.select("memory_id", term.alias("term"))
 
 
+#: A memory's span: a fact without an end is the day of its start; a low-confidence one is a day wider on both sides.
+_SPAN = """y AS (SELECT *, valid_from - CASE WHEN low_confidence THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS begins,
+  CASE WHEN kind = 'fact' AND valid_until IS NULL THEN valid_from + INTERVAL 1 DAY ELSE closes END + CASE WHEN low_confidence THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS ends,
+  kind = 'fact' AND valid_until IS NULL AND valid_from IS NULL AS nowhere FROM p)"""
+
+
 @query(f"""
-WITH {_DATED}
-SELECT memory_id FROM p WHERE kind IN ('event', 'state', 'fact', 'task') AND phase IN ('current', 'overdue', 'recently_past', 'long_past')
-  AND observed_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-22 00:00:00' AND (valid_from IS NOT NULL OR valid_end IS NOT NULL)
-  AND CASE WHEN kind = 'fact' AND valid_end IS NULL THEN valid_from + CASE WHEN low_confidence THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END >= TIMESTAMP '2024-01-10 00:00:00' AND valid_from - CASE WHEN low_confidence THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END <= TIMESTAMP '2024-02-01 00:00:00'
-      ELSE coalesce(valid_from - CASE WHEN low_confidence THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END <= TIMESTAMP '2024-02-01 00:00:00', true) AND coalesce(valid_end + CASE WHEN low_confidence THEN INTERVAL 24 HOUR ELSE INTERVAL 0 HOUR END > TIMESTAMP '2024-01-10 00:00:00', true) END
+WITH {_DATED}, {_SPAN}
+SELECT memory_id FROM y WHERE kind IN ('event', 'state', 'fact', 'task') AND phase IN ('current', 'overdue', 'recently_past', 'long_past')
+  AND observed_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-22 00:00:00'
+  AND NOT nowhere AND coalesce(begins <= TIMESTAMP '2024-02-01 00:00:00', true) AND coalesce(ends > TIMESTAMP '2024-01-10 00:00:00', true)
 """)
 def recall_filter(spark, d):
     keep = V.recall_filter(["event", "state", "fact", "task"], ["current", "past"], ("2024-01-03", "2024-01-22"), ("2024-01-10", "2024-02-01"))
     return V.dated(derived(spark, d, "d_memories"), NOW).where(keep).select("memory_id")
 
 
+#: Units of windows, by the id.
+_STEPS = "[INTERVAL 1 YEAR, INTERVAL 1 MONTH, INTERVAL 1 DAY, INTERVAL 1 HOUR, INTERVAL 1 MINUTE]"
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, item_id % 8 AS bank_id, CASE WHEN item_id % 5 <> 1 THEN TIMESTAMP '2024-01-01 00:00:00' + item_id * INTERVAL 30 HOUR END AS lo,
+  CASE WHEN item_id % 7 <> 2 THEN TIMESTAMP '2024-01-01 00:00:00' + item_id * INTERVAL 30 HOUR + (item_id % 4) * INTERVAL 50 HOUR END AS hi FROM benchmark),
+m AS (SELECT memory_id, bank_id, kind, low_confidence, CASE WHEN memory_id % 4 <> 3 THEN observed_at + INTERVAL 36 HOUR END AS f, CASE WHEN memory_id % 3 = 0 THEN observed_at + INTERVAL 90 HOUR END AS u,
+  {_STEPS}[memory_id % 5 + 1] AS s, {_STEPS}[memory_id // 5 % 5 + 1] AS t FROM d_memories),
+w AS (SELECT memory_id, bank_id, CASE WHEN low_confidence THEN f - s ELSE f END AS b,
+  CASE WHEN u IS NOT NULL THEN CASE WHEN low_confidence THEN u + t + t ELSE u + t END WHEN kind IN ('event', 'fact') THEN CASE WHEN low_confidence THEN f + s + s ELSE f + s END END AS e
+  FROM m WHERE NOT (kind = 'fact' AND u IS NULL AND f IS NULL))
+SELECT query_id, memory_id FROM q JOIN w ON q.bank_id = w.bank_id AND coalesce(b <= hi, true) AND coalesce(e > lo, true)
+""")
+def happened_in(spark, d):
+    """Every benchmark item's range against windows of all five precisions."""
+    m = derived(spark, d, "d_memories")
+    at = F.col("observed_at").cast("timestamp")
+    unit = lambda n: F.element_at(F.array(*[F.lit(u) for u in ("year", "month", "day", "hour", "minute")]), (n % 5 + 1).cast("int"))
+    rows = m.withColumns({
+        "valid_from": F.when(F.col("memory_id") % 4 != 3, at + F.expr("INTERVAL 36 HOURS")), "valid_until": F.when(F.col("memory_id") % 3 == 0, at + F.expr("INTERVAL 90 HOURS")),
+        "valid_from_precision": unit(F.col("memory_id")), "valid_until_precision": unit(F.floor(F.col("memory_id") / 5)),
+    })
+    begins, ends = V.happened_span(rows)
+    first = F.expr("TIMESTAMP '2024-01-01 00:00:00' + query_id * INTERVAL '30' HOUR")
+    asked = _queries(spark).select("query_id", "bank_id", F.when(F.col("query_id") % 5 != 1, first).alias("lo"), F.when(F.col("query_id") % 7 != 2, first + F.expr("(query_id % 4) * INTERVAL '50' HOUR")).alias("hi"))
+    return V.happened_in(rows.select("memory_id", "bank_id", begins.alias("begins"), ends.alias("ends")), asked)
+
+
+@recursive
+@query(f"""
+WITH {HEADS}, e AS (SELECT entity_id, entity_id AS last, merged_into AS nxt FROM d_entities UNION ALL SELECT e.entity_id, x.entity_id, x.merged_into FROM e JOIN d_entities x ON e.nxt = x.entity_id),
+s AS (SELECT entity_id, last FROM e WHERE nxt IS NULL), q AS (SELECT i.item_id AS query_id, i.item_id % 8 AS bank_id, s.last FROM benchmark i JOIN s ON s.entity_id = i.item_id % 47),
+h AS (SELECT DISTINCT q.query_id, l.memory_id FROM q JOIN s ON s.last = q.last JOIN d_links l ON l.entity_id = s.entity_id AND l.bank_id = q.bank_id)
+SELECT query_id, memory_id FROM h UNION SELECT h.query_id, r.head_id FROM h JOIN r ON r.memory_id = h.memory_id AND r.nxt IS NULL
+""")
+def entity_filter(spark, d):
+    """The memories of the entity that each benchmark item names, whatever their kind and phase."""
+    _checkpoints(spark)
+    heads = S.chain_heads(derived(spark, d, "d_memories"))
+    named = _queries(spark).select("query_id", "bank_id", (F.col("query_id") % 47).alias("entity_id"))
+    return V.entity_filter(named, derived(spark, d, "d_links"), derived(spark, d, "d_entities"), heads)
+
+
 _W = r"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
