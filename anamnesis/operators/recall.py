@@ -17,7 +17,12 @@ def tokens(text: Column) -> Column:
 
 
 def bm25_top_k(memories: DataFrame, queries: DataFrame, k: int = PER_ARM) -> DataFrame:
-    """(query_id, memory_id, score, rank): Okapi BM25 of any query word over the memories of the query's bank, ties to the lower id.
+    """(query_id, memory_id, score, rank): the ``k`` best by ``bm25_scores``, ties to the lower id."""
+    return top_k(bm25_scores(memories, queries), k)
+
+
+def bm25_scores(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, memory_id, score): Okapi BM25 of any query word over the memories of the query's bank.
 
     Words are counted over all banks; postings meet a query by word and bank, so a
     common word's are dealt out by bank. Only words that some query asks for are
@@ -32,8 +37,7 @@ def bm25_top_k(memories: DataFrame, queries: DataFrame, k: int = PER_ARM) -> Dat
     wanted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    scored = wanted.join(counts, ["term", "bank_id"]).groupBy("query_id", "memory_id").agg(F.sum(part).alias("score"))
-    return top_k(scored, k)
+    return wanted.join(counts, ["term", "bank_id"]).groupBy("query_id", "memory_id").agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -41,9 +45,12 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, rows_per_block: int = 50_000, queries_per_block: int = 2_000) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, rows_per_block: int = 50_000, queries_per_block: int = 2_000, by: str = "memory_id") -> DataFrame:
     """(query_id, memory_id, score, rank): exact cosine of ``queries(query_id, bank_id, embedding)`` and the vectors of their bank.
 
+    With another ``by``, as the head of a chain, vectors are put together by that column before
+    the best are taken: each of its values counts once, with its nearest vector, and stands as memory_id.
+
     A bank's vectors and queries are cut into blocks by hash; a task multiplies one
     block of each and keeps the best k per query, so a large bank is many tasks.
     Null vectors and ones with NaN match nothing; a zero vector has similarity 0.
@@ -52,7 +59,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, rows_
     asked = queries.groupBy("bank_id").agg(F.ceil(F.count("*") / queries_per_block).alias("_q"))
     cuts = size.join(asked, "bank_id")
     left = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").join(cuts, "bank_id")
-    left = left.select("bank_id", F.pmod(F.xxhash64("memory_id"), "_s").alias("_vs"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("_qs"), "memory_id", "embedding")
+    left = left.select("bank_id", F.pmod(F.xxhash64("memory_id"), "_s").alias("_vs"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("_qs"), F.col(by).alias("memory_id"), "embedding")
     right = queries.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x))").join(cuts, "bank_id")
     right = right.select(F.col("bank_id").alias("_bank"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_block"), F.pmod(F.xxhash64("query_id"), "_q").alias("_part"), "query_id", F.col("embedding").alias("asked"))
 
@@ -67,12 +74,14 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = PER_ARM, rows_
             ids, m = one["memory_id"].to_numpy(), unit(one["embedding"])
             order = np.argsort(ids, kind="stable")
             ids, m = ids[order], m[order]
-            sims = np.round(unit(two["asked"]) @ m.T, 9)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids, sims = ids[first], np.maximum.reduceat(np.round(unit(two["asked"]) @ m.T, 9), first, axis=1)
             best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
             out = [np.repeat(two["query_id"].to_numpy(), best.shape[1]), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()]
         return pa.table(out, names=["query_id", "memory_id", "score"])
 
-    return top_k(left.groupBy("bank_id", "_vs", "_qs").cogroup(right.groupBy("_bank", "_block", "_part")).applyInArrow(run, "query_id long, memory_id long, score double"), k)
+    found = left.groupBy("bank_id", "_vs", "_qs").cogroup(right.groupBy("_bank", "_block", "_part")).applyInArrow(run, "query_id long, memory_id long, score double")
+    return top_k(found if by == "memory_id" else found.groupBy("query_id", "memory_id").agg(F.max("score").alias("score")), k)
 
 
 def rrf_fuse(arms: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from anamnesis.operators import cells as N
 from anamnesis.operators import recall as R
 from anamnesis.operators import strength as S
 from anamnesis.operators.retrieval import cosine
@@ -18,23 +19,22 @@ TASKS = ("task", "recurring")
 REPEATS, CHANGES = ("mentioned_again", "confirmed"), ("ends", "retracts", "denies", "refines")
 
 
-def claim_neighbours(claims: DataFrame, memories: DataFrame, vectors: DataFrame, heads: DataFrame, floor: float, per_arm: int = 100, most: int = PER_CLAIM) -> DataFrame:
+def claim_neighbours(claims: DataFrame, memories: DataFrame, vectors: DataFrame, heads: DataFrame, floor: float, per_arm: int = 40, most: int = PER_CLAIM) -> DataFrame:
     """(claim_id, memory_id, similarity, rank): the ten stored heads nearest to each claim by vector and by words, fused.
 
-    ``claims(claim_id, bank_id, content, embedding, flagged)``. Hits become their
-    chain's head before ranks are cut, so no search has to be widened. Retracted
-    heads are out, faded, ended and hidden ones stay. Claims that flag no change
-    take vector hits of at least ``floor`` only.
+    ``claims(claim_id, bank_id, content, embedding, flagged)``. Versions count as their chain's
+    head before anything is cut, so a memory of a thousand versions takes one of an arm's
+    ``per_arm`` places. Retracted heads are out, faded, ended and hidden ones stay. Claims that
+    flag no change take vector hits of at least ``floor`` only.
     """
     asked = claims.select(F.col("claim_id").alias("query_id"), "bank_id", F.col("content").alias("query"), "embedding")
-    near = R.vector_top_k(vectors, asked, per_arm).join(claims.select(F.col("claim_id").alias("query_id"), "flagged"), "query_id").where(F.col("flagged") | (F.col("score") >= floor))
-    said = R.bm25_top_k(memories, asked, per_arm)
-    rows = near.select("query_id", "memory_id", F.lit("vector").alias("arm"), "score").unionByName(said.select("query_id", "memory_id", F.lit("bm25").alias("arm"), "score"))
-    up = memories.where("NOT retracted").select(F.col("memory_id").alias("head_id"))
-    rows = rows.join(heads, "memory_id").join(up, "head_id", "left_semi").groupBy("query_id", "arm", F.col("head_id").alias("memory_id")).agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id", "arm").orderBy(F.round("score", 9).desc(), "memory_id")
-    fused = R.rrf_fuse(rows.withColumn("rank", F.row_number().over(order)))
-    sims = rows.where("arm = 'vector'").select("query_id", "memory_id", F.col("score").alias("similarity"))
+    up = heads.join(memories.where("NOT retracted").select(F.col("memory_id").alias("head_id")), "head_id", "left_semi")
+    near = R.vector_top_k(vectors.join(up, "memory_id"), asked, per_arm, by="head_id")
+    near = near.join(claims.select(F.col("claim_id").alias("query_id"), "flagged"), "query_id").where(F.col("flagged") | (F.col("score") >= floor))
+    said = R.bm25_scores(memories, asked).join(up, "memory_id").groupBy("query_id", F.col("head_id").alias("memory_id")).agg(F.max("score").alias("score"))
+    arms = near.select("query_id", "memory_id", "rank").unionByName(R.top_k(said, per_arm).select("query_id", "memory_id", "rank"))
+    fused = R.rrf_fuse(arms)
+    sims = near.select("query_id", "memory_id", F.col("score").alias("similarity"))
     return fused.where(F.col("rank") <= most).join(sims, ["query_id", "memory_id"], "left").select(F.col("query_id").alias("claim_id"), "memory_id", "similarity", "rank")
 
 
@@ -266,14 +266,13 @@ def apply_edits(memories: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def re_mentioned_rate(created: DataFrame, purged: DataFrame, floor: float) -> DataFrame:
-    """(bank_id, purged, re_mentioned, rate): purged memories that one made later in their bank is as near to as ``floor``.
+    """(bank_id, purged, re_mentioned, rate): memories of a bank made after one as near as ``floor`` was purged, to all that were purged.
 
-    ``created(memory_id, bank_id, embedding, created_at)``, ``purged(memory_id,
-    bank_id, embedding, purged_at)``. Vectors are multiplied in blocks of a bank.
+    ``created(memory_id, bank_id, embedding, created_at)``, ``purged(memory_id, bank_id, embedding, purged_at)``.
+    Each created memory counts once however many it is near to. The rate is 0 where nothing was purged.
     """
-    asked = purged.select(F.col("memory_id").alias("query_id"), "bank_id", "embedding")
-    near = R.vector_top_k(created.select("memory_id", "bank_id", "embedding"), asked, 1 << 30).where(F.col("score") >= floor)
-    later = near.join(created.select("memory_id", "created_at"), "memory_id").join(purged.select(F.col("memory_id").alias("query_id"), "purged_at"), "query_id").where("created_at > purged_at")
-    hit = later.select("query_id").distinct().withColumn("_hit", F.lit(1))
-    rows = asked.join(hit, "query_id", "left").groupBy("bank_id").agg(F.count("*").alias("purged"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("re_mentioned"))
-    return rows.withColumn("rate", F.col("re_mentioned") / F.col("purged"))
+    gone = N.cells(purged.select("memory_id", "bank_id", "embedding", F.col("purged_at").alias("at")))
+    asked = created.select(F.col("memory_id").alias("query_id"), "bank_id", "embedding", F.col("created_at").alias("at"))
+    again = asked.join(N.any_before(gone, asked, floor), "query_id", "left_semi").groupBy("bank_id").agg(F.count("*").alias("re_mentioned"))
+    banks = purged.groupBy("bank_id").agg(F.count("*").alias("purged")).join(created.select("bank_id").distinct(), "bank_id", "full").join(again, "bank_id", "left").fillna(0, ["purged", "re_mentioned"])
+    return banks.select("bank_id", "purged", "re_mentioned", F.coalesce(F.try_divide("re_mentioned", "purged"), F.lit(0.0)).alias("rate"))

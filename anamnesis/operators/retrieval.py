@@ -95,7 +95,7 @@ def happened_span(memories: DataFrame) -> tuple[Column, Column]:
     """When a memory's window holds: from the first instant up to the second, null where it is open.
 
     A fact without an end stands in the unit of its stated start alone; without a start no bound
-    of a range lets it in, as it begins in the year 9999 and ends in the year 1. A low-confidence window is one unit of its own dates wider on both sides.
+    of a range lets it in, as it begins in the year 9999 and ends in the year 1000. A low-confidence window is one unit of its own dates wider on both sides.
     """
     zone, low = S._column(memories, "timezone", "UTC"), F.coalesce(F.col("low_confidence"), F.lit(False))
     start, start_unit = F.col("valid_from").cast("timestamp"), S._column(memories, "valid_from_precision", "day")
@@ -103,7 +103,7 @@ def happened_span(memories: DataFrame) -> tuple[Column, Column]:
     wider = lambda at, unit, n: F.when(low, S.shift(at, unit, zone, n)).otherwise(at)
     point = (F.col("kind") == "fact") & F.col("valid_until").isNull()
     nowhere = point & start.isNull()
-    late, early = (F.lit(x).cast("timestamp") for x in ("9999-12-31", "0001-01-01"))
+    late, early = (F.lit(x).cast("timestamp") for x in ("9999-12-31", "1000-01-01"))
     ends_unit = F.when(F.col("valid_until").isNull(), start_unit).otherwise(until_unit)
     begins = F.when(nowhere, late).otherwise(wider(start, start_unit, -1))
     ends = F.when(nowhere, early).when(point, wider(S.unit_end(start, start_unit, zone), start_unit, 1)).otherwise(wider(S.closes_at(memories), ends_unit, 1))

@@ -351,12 +351,14 @@ def apply_edits(spark, d):
 
 @query("""
 WITH v AS (SELECT vec_id AS memory_id, CAST(floor(vec_id / 10) AS BIGINT) % 8 AS bank_id, CAST(embedding AS DOUBLE[]) AS e, vec_id * 7919 % 1000 AS t FROM embeddings),
-p AS (SELECT p.bank_id, p.memory_id, max(CASE WHEN round(list_cosine_similarity(p.e, c.e), 9) >= 0.3 AND c.t > p.t THEN 1 ELSE 0 END) AS hit FROM v p JOIN v c ON p.bank_id = c.bank_id AND c.memory_id % 2 = 1 WHERE p.memory_id % 50 = 0 GROUP BY 1, 2)
-SELECT bank_id, count(*) AS purged, CAST(sum(hit) AS BIGINT) AS re_mentioned, sum(hit) / count(*) AS rate FROM p GROUP BY 1
+c AS (SELECT c.bank_id, c.memory_id, CASE WHEN EXISTS (SELECT 1 FROM v p WHERE p.bank_id = c.bank_id AND p.t < c.t AND round(list_cosine_similarity(p.e, c.e), 9) >= 0.3) THEN 1 ELSE 0 END AS hit FROM v c WHERE c.memory_id % 50 = 0),
+n AS (SELECT bank_id, count(*) AS purged FROM v GROUP BY 1)
+SELECT n.bank_id, n.purged, CAST(coalesce(sum(hit), 0) AS BIGINT) AS re_mentioned, coalesce(sum(hit), 0) / n.purged AS rate FROM n LEFT JOIN c ON c.bank_id = n.bank_id GROUP BY n.bank_id, n.purged
 """)
 def re_mentioned_rate(spark, d):
+    """Every fiftieth vector as a memory made anew, against all as purged ones."""
     v = _vectors(spark, d).withColumn("t", F.col("memory_id") * 7919 % 1000)
-    return C.re_mentioned_rate(v.where("memory_id % 2 = 1").withColumnRenamed("t", "created_at"), v.where("memory_id % 50 = 0").withColumnRenamed("t", "purged_at"), 0.3)
+    return C.re_mentioned_rate(v.where("memory_id % 50 = 0").withColumnRenamed("t", "created_at"), v.withColumnRenamed("t", "purged_at"), 0.3)
 
 
 # -- lifecycle -------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anamnesis.operators import cells as N
 from anamnesis.operators import recall as R
 from anamnesis.operators import retrieval as V
 from anamnesis.operators import strength as S
@@ -36,6 +37,15 @@ def vector_top_k(spark, d):
     return R.vector_top_k(v, v.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id")).select("query_id", "memory_id", "rank")
 
 
+@query(_SQL["vector_top_k"])
+def cell_top_k(spark, d):
+    """The rows of ``vector_top_k`` from cells."""
+    _checkpoints(spark)
+    v = _vectors(spark, d)
+    asked = v.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id")
+    return N.cell_top_k(N.cells(v, per_cell=50), asked).select("query_id", "memory_id", "rank")
+
+
 @recursive
 @query(_BM25.replace("WITH w AS", f"WITH {HEADS}, w AS") + """
 SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY best, memory_id) AS rank FROM (
