@@ -1,11 +1,7 @@
-"""Browsing, health, audit and run reports over the tables of all banks, and projections of strength."""
+"""Browsing, health, audit and run reports over the tables of all banks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,91 +135,3 @@ def facet_curves(labelled: DataFrame, cited: DataFrame) -> tuple[DataFrame, Data
     sizes = at.select("floor", F.sum("n").over(run).alias("inputs"), F.sum("c").over(run).alias("cited"))
     total = cited.distinct().agg(F.count("*").alias("_all"))
     return curve, sizes.crossJoin(total).select("floor", "inputs", "cited", F.try_divide("cited", "_all").alias("retained"))
-
-
-# -- projections -----------------------------------------------------------------
-
-
-def decays(clock: np.ndarray, weight: np.ndarray, tuning: S.Tuning = S.TUNING) -> np.ndarray:
-    """Each access's decay, which depends on those before it only: min(d_max, a + c * what was there)."""
-    out = np.empty(len(clock))
-    for j in range(len(clock)):
-        before = float((weight[:j] * np.maximum(clock[j] - clock[:j], tuning.min_age_days) ** -out[:j]).sum())
-        out[j] = min(tuning.d_max, tuning.a + tuning.c * before)
-    return out
-
-
-def value_at(at_us: np.ndarray, clock: np.ndarray, weight: np.ndarray, days: float, sig: float, occasions: int, tuning: S.Tuning = S.TUNING, decay: np.ndarray | None = None) -> float:
-    """Strength when the bank's clock stands at ``days``, over the accesses before it."""
-    decay = decays(clock, weight, tuning) if decay is None else decay
-    n = int(np.searchsorted(clock, days, "right"))
-    floor = tuning.tau - tuning.g * np.log(tuning.n0) + tuning.g * np.log(occasions) if occasions else -np.inf
-    if not n:
-        return -np.inf
-    use = float(np.log((weight[:n] * np.maximum(days - clock[:n], tuning.min_age_days) ** -decay[:n]).sum()))
-    return tuning.s * sig + max(use, floor)
-
-
-def projected_days(strength_at: Callable[[float], float], lasting: float, threshold: float, restart: float | None = None) -> float | None:
-    """Bank days at full speed until strength is below the threshold, to a minute; null if never or beyond 200 years.
-
-    ``strength_at`` gives strength that many days from now; a restart still ahead
-    lifts it once, so the stretch before is looked at first.
-    """
-    minute, most = 1 / 1440, 200 * 365.25
-    if strength_at(0.0) < threshold:
-        return 0.0
-
-    def bisect(lo: float, hi: float) -> float:
-        while hi - lo > minute:
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if strength_at(mid) < threshold else (mid, hi)
-        return hi
-
-    start = 0.0
-    if restart is not None and restart > 0:
-        if restart > minute and strength_at(restart - minute) < threshold:
-            return bisect(0.0, restart - minute)
-        start = restart
-    if lasting >= threshold:
-        return None
-    high = max(start, 1.0)
-    while strength_at(high) >= threshold:
-        high *= 2
-        if high > most:
-            return None
-    return bisect(start, high)
-
-
-def projections(timed: DataFrame, threshold: float, tuning: S.Tuning = S.TUNING) -> DataFrame:
-    """(memory_id, fades_in_days, faded_at_day) from ``timed(memory_id, clock, weight, sig, occasions, now_clock)``.
-
-    ``clock`` is the bank's clock in days at each access. ``fades_in_days`` is the
-    projection from now, ``faded_at_day`` the first past reading between two
-    accesses, or between the last and now, at which strength had gone below the threshold.
-    """
-
-    def one(rows: pd.DataFrame) -> tuple[float | None, float | None]:
-        clock, weight = rows["clock"].to_numpy(), rows["weight"].to_numpy()
-        sig, n, now = float(rows["sig"].iloc[0]), int(rows["occasions"].iloc[0]), float(rows["now_clock"].iloc[0])
-        decay = decays(clock, weight, tuning)
-        at = lambda d: value_at(clock, clock, weight, d, sig, n, tuning, decay)
-        lasting = tuning.s * sig + tuning.tau - tuning.g * np.log(tuning.n0) + tuning.g * np.log(max(n, 1))
-        ahead = projected_days(lambda d: at(now + d), lasting, threshold)
-        past = None
-        marks = [*clock, now]
-        for a, b in zip(marks[:-1], marks[1:], strict=True):
-            if b - a > 1 / 1440 and at(b - 1 / 2880) < threshold <= at(a + 1 / 2880):
-                lo, hi = a, b
-                while hi - lo > 1 / 1440:
-                    mid = (lo + hi) / 2
-                    lo, hi = (lo, mid) if at(mid) < threshold else (mid, hi)
-                past = hi
-                break
-        return ahead, past
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["clock", "weight"], ascending=[True, False])
-        return pd.DataFrame([(key[0], *one(rows))], columns=["memory_id", "fades_in_days", "faded_at_day"])
-
-    return timed.groupBy("memory_id").applyInPandas(run, "memory_id long, fades_in_days double, faded_at_day double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.operators import agenda as A
 from anamnesis.operators import entities as E
+from anamnesis.operators import fading as Z
 from anamnesis.operators import history as H
 from anamnesis.operators import ingest as I
 from anamnesis.operators import lifecycle as L
@@ -664,12 +665,10 @@ def memory_outcomes(spark, d):
 
 @query()
 def projections(spark, d):
-    """How long each memory lasts from now, its clock running at full speed, and when it had faded before."""
-    days = lambda c: S.micros(c) / float(S.DAY)
-    a = derived(spark, d, "d_accesses").where(F.col("accessed_at") <= F.lit(NOW).cast("timestamp")).select("memory_id", days("accessed_at").alias("clock"), S.of_map(F.col("kind"), S.WEIGHTS).alias("weight"))
-    sig = S.of_map(F.coalesce("owner_significance", "significance"), S.SIGNIFICANCE)
-    rows = a.join(_m(spark, d).select("memory_id", sig.alias("sig")), "memory_id").join(S.occasions(derived(spark, d, "d_accesses"), NOW), "memory_id")
-    return P.projections(rows.withColumn("now_clock", days(F.lit(NOW).cast("timestamp"))), S.TUNING.tau)
+    """How long each memory lasts from now, when it had faded before, when it may be purged and what holds it."""
+    _checkpoints(spark)
+    rows = Z.fading(_m(spark, d), derived(spark, d, "d_accesses"), derived(spark, d, "d_messages"), _heads(spark, d), NOW)
+    return rows.withColumn("guards", F.array_join("guards", ","))
 
 
 # -- streams ---------------------------------------------------------------------

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from anamnesis.operators import cells as N
+from anamnesis.operators import postings as P
 from anamnesis.operators import recall as R
 from anamnesis.operators import retrieval as V
 from anamnesis.operators import strength as S
@@ -37,6 +40,15 @@ def vector_top_k(spark, d):
     return R.vector_top_k(v, v.where("memory_id % 50 = 0").withColumnRenamed("memory_id", "query_id")).select("query_id", "memory_id", "rank")
 
 
+@query(_BM25 + "SELECT query_id, memory_id, rank FROM b")
+def index_top_k(spark, d):
+    """The rows of ``bm25_top_k`` from an index that is written first."""
+    _checkpoints(spark)
+    m = derived(spark, d, "d_memories")
+    path = P.write_index(m, f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/index-{uuid.uuid4().hex}")
+    return P.index_top_k(spark, path, _queries(spark)).select("query_id", "memory_id", "rank")
+
+
 @query(_SQL["vector_top_k"])
 def cell_top_k(spark, d):
     """The rows of ``vector_top_k`` from cells."""

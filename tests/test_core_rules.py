@@ -14,7 +14,6 @@ from anamnesis.operators import entities as E
 from anamnesis.operators import lifecycle as L
 from anamnesis.operators import recall as R
 from anamnesis.operators import reconcile as C
-from anamnesis.operators import reports as P
 from anamnesis.operators import retrieval as V
 from anamnesis.operators import strength as S
 from anamnesis.plans.registry import NOW
@@ -206,15 +205,6 @@ def test_repetition_rules(spark):
     assert got == ["2024-10-31 12:00:00", "2024-09-29 13:00:00", "None", "None", "None"]
 
 
-def test_projections_follow_the_closed_form():
-    for level, days in (("trivial", 7.39), ("minor", 30.83), ("notable", 90.02)):
-        sig, one = S.SIGNIFICANCE[level], np.array([1.0])
-        at = lambda d: P.value_at(np.zeros(1), np.zeros(1), one, d, sig, 1)  # noqa: B023, E731
-        lasting = 2.5 * sig - 0.7 - 0.8 * math.log(18)
-        assert P.projected_days(at, lasting, S.TUNING.tau) == pytest.approx(days, rel=0.01)
-    assert P.projected_days(lambda d: 1.0, 0.0, S.TUNING.tau) is None and P.projected_days(lambda d: -1.0, -2.0, S.TUNING.tau) == 0.0
-    assert P.projected_days(lambda d: -1.0 if 2 <= d < 5 else 0.0, -2.0, S.TUNING.tau, restart=5.0) == pytest.approx(2, abs=0.01)
-
 
 def test_vectors_and_names(spark):
     rng = np.random.default_rng(2)
