@@ -53,7 +53,7 @@ def preference_rows(turns: DataFrame, pairs: DataFrame | None = None) -> DataFra
     """
     clean = turns.where("conv_id IS NOT NULL").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     if pairs is None:
-        side = clean.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("even", F.pmod("conv_id", F.lit(2)) == 0)
+        side = clean.withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("even", F.pmod("conv_id", F.lit(2)) == 0)
         both = side.groupBy("pair_id").agg(
             F.min(F.when(F.col("even"), F.col("conv_id"))).alias("chosen_id"),
             F.min(F.when(~F.col("even"), F.col("conv_id"))).alias("rejected_id"),

@@ -85,7 +85,7 @@ JOIN (SELECT coalesce(text, '') AS body, max(doc_id) AS keep_id, count(*) AS gro
 
 _OP5 = """
 WITH t AS (
-  SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
+  SELECT conv_id, (conv_id & -2) // 2 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role,
          coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
   FROM conversations WHERE conv_id IS NOT NULL
