@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,39 +73,47 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def occurrences(passage: str, text: str) -> list[tuple[int, int]]:
-    """Where the passage stands in the text, overlapping ones too; a mask on either side matches anything.
+class Passages:
+    """An automaton of passages over bit vectors: one bit per character of all passages, one pass over a text for all of them."""
+
+    def __init__(self, passages: Iterable[str]):
+        self.ends: dict[int, int] = {}
+        self.first, self.masks, self.all, at = 0, 0, 0, 0
+        self.equal: dict[str, int] = {}
+        for passage in sorted({p for p in passages if p}):
+            self.first |= 1 << at
+            for c in passage:
+                if c == MASK:
+                    self.masks |= 1 << at
+                else:
+                    self.equal[c] = self.equal.get(c, 0) | 1 << at
+                at += 1
+            self.ends[1 << at - 1] = len(passage)
+        self.all = (1 << at) - 1
+        self.accept = sum(self.ends)
+        self.signs = {c: 0 if c.isspace() else bits for c, bits in self.equal.items()}
+
+    def found(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of every passage in the text, overlapping ones too; a mask on either side stands for any character.
+
+        Some character that is neither mask nor white space has to be equal: the states that have
+        met one are a second vector.
+        """
+        out, states, sure = [], 0, 0
+        for end, c in enumerate(text, 1):
+            fits = self.all if c == MASK else self.equal.get(c, 0) | self.masks
+            states = (states << 1 | self.first) & fits
+            sure = states & ((sure << 1 & ~self.first) | self.signs.get(c, 0))
+            hits = sure & self.accept
+            while hits:
+                last = hits & -hits
+                out.append((end - self.ends[last], end))
+                hits ^= last
+        return sorted(set(out))
 
-    Some character that is neither mask nor white space has to match. The text is
-    searched for the passage's longest stretch without a mask, as far as the text
-    has no masks of its own.
-    """
-    n = len(passage)
-    if not n or n > len(text):
-        return []
-    if MASK in text:
-        starts = range(len(text) - n + 1)
-    else:
-        piece = max(passage.split(MASK), key=len)
-        offset, starts, at = passage.index(piece), [], -1
-        if not piece.strip():
-            return []
-        while (at := text.find(piece, at + 1)) >= 0:
-            if 0 <= at - offset <= len(text) - n:
-                starts.append(at - offset)
-    found = []
-    for a in starts:
-        sure = False
-        for x, y in zip(passage, text[a : a + n], strict=True):
-            if x == MASK or y == MASK:
-                continue
-            if x != y:
-                break
-            sure |= not x.isspace()
-        else:
-            if sure:
-                found.append((a, a + n))
-    return found
+
+def occurrences(passage: str, text: str) -> list[tuple[int, int]]:
+    return Passages([passage]).found(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -129,18 +138,22 @@ def turn_spans(spans: DataFrame, turns: DataFrame, separator: int = 2) -> DataFr
     return said.unionByName(after).where("start < `end`")
 
 
-def redact_versions(versions: DataFrame, passages: DataFrame) -> DataFrame:
+def redact_versions(versions: DataFrame, passages: DataFrame, together: int = 4_096) -> DataFrame:
     """(version_id, start, end): where a document's passages stand in its versions.
 
-    ``versions(version_id, document_id, text)``, ``passages(document_id, passage)``.
+    ``versions(version_id, document_id, text)``, ``passages(document_id, passage)``. A document's
+    passages are dealt into automata of about ``together`` characters, and each version is read once by each.
     """
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
-    def find(passage: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in occurrences(p or "", t or "")] for p, t in zip(passage, text, strict=True)])
-
-    rows = versions.join(passages.distinct(), "document_id")
-    return rows.select("version_id", F.explode(find("passage", "text")).alias("s")).select("version_id", "s.start", "s.end").distinct()
+    def find(wanted: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in Passages(w).found(t or "")] for w, t in zip(wanted, text, strict=True)])
+
+    rows = passages.where("passage <> ''").distinct()
+    parts = rows.groupBy("document_id").agg(F.ceil(F.sum(F.length("passage")) / together).alias("_parts"))
+    automata = rows.join(parts, "document_id").groupBy("document_id", F.pmod(F.xxhash64("passage"), "_parts").alias("_part")).agg(F.collect_list("passage").alias("_wanted"))
+    found = versions.join(automata, "document_id").select("version_id", F.explode(find("_wanted", "text")).alias("s"))
+    return found.select("version_id", "s.start", "s.end").distinct()
 
 
 def delete_orphan_entities(entities: DataFrame, links: DataFrame, speakers: DataFrame, filters: DataFrame) -> DataFrame:

@@ -157,6 +157,9 @@ def test_masks():
         text, passage = ("".join(rng.choice("ab █") for _ in range(n)) for n in (12, 3))
         plain = [(k, k + 3) for k in range(10) if all("█" in (x, y) or x == y for x, y in zip(passage, text[k : k + 3])) and any("█" not in (x, y) and not x.isspace() for x, y in zip(passage, text[k : k + 3]))]
         assert L.occurrences(passage, text) == plain
+    for _ in range(50):
+        text, wanted = "".join(rng.choice("abé█\n ") for _ in range(80)), ["".join(rng.choice("abé█ ") for _ in range(rng.randrange(6))) for _ in range(30)]
+        assert set(L.Passages(wanted).found(text)) == {s for w in wanted for s in L.occurrences(w, text)}
 
 
 def events():
