@@ -201,7 +201,9 @@ def _composed(spark, d):
     _checkpoints(spark)
     m = derived(spark, d, "d_memories")
     now = F.lit(NOW).cast("timestamp")
-    known = m.join(_strength(spark, d).select("memory_id", "value"), "memory_id").withColumn("confidence", S.state_confidence(F.col("observed_at"), F.col("observed_at"), F.col("volatility"), now))
+    said = derived(spark, d, "d_accesses").where(F.col("kind").isin("mentioned_again", "confirmed") & (F.col("accessed_at") <= now)).groupBy("memory_id").agg(F.max("accessed_at").alias("_said"))
+    known = m.join(_strength(spark, d).select("memory_id", "value"), "memory_id").join(said, "memory_id", "left")
+    known = known.withColumn("confidence", S.state_confidence(F.col("observed_at"), F.col("_said"), F.col("volatility"), now)).drop("_said")
     asked = _queries(spark).withColumn("embedding", V.embed()("query"))
     named = asked.select("query_id", "bank_id", (F.col("query_id") % 47).alias("entity_id"))
     hits = V.arms(asked, m, V.reembed(m), named, derived(spark, d, "d_links"), derived(spark, d, "d_entities")).checkpoint()
