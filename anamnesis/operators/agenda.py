@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-from functools import lru_cache
-from zoneinfo import ZoneInfo
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from anamnesis.operators import strength as S
+from anamnesis.operators.rules import next_occurrence
 
 # Fixed values of the agenda: days ahead and back, and lines of each part.
 HORIZON, OVERDUE, UNDATED = 7, 30, 30
@@ -45,37 +40,6 @@ def annual_rule(text: Column) -> Column:
     return F.when(yearly & month.isNotNull() & day.between(1, 31), F.concat(F.lit("FREQ=YEARLY;BYMONTH="), number.cast("string"), F.lit(";BYMONTHDAY="), day.cast("string")))
 
 
-@lru_cache(maxsize=10_000)
-def _rule(text: str, start: datetime):
-    from dateutil.rrule import rrulestr
-
-    return rrulestr(text, dtstart=start)
-
-
-def _next(rule: str | None, start: pd.Timestamp, after: pd.Timestamp, zone: str) -> datetime | None:
-    if not isinstance(rule, str) or pd.isna(start):
-        return None
-    body = rule.strip().removeprefix("RRULE:")
-    if ":" in body or "\n" in body:
-        return None
-    try:
-        tz = ZoneInfo(zone)
-    except (KeyError, ValueError, TypeError):
-        tz = timezone.utc
-    local = lambda t: t.to_pydatetime().replace(tzinfo=timezone.utc).astimezone(tz).replace(tzinfo=None)
-    try:
-        found = _rule(body, local(start)).after(local(after), inc=True)
-    except (ValueError, TypeError, AttributeError):
-        return None
-    return found and found.replace(tzinfo=tz).astimezone(timezone.utc).replace(tzinfo=None)
-
-
-@F.pandas_udf(T.TimestampType())
-def next_occurrence(rule: pd.Series, start: pd.Series, after: pd.Series, zone: pd.Series) -> pd.Series:
-    """The first time at or after ``after`` that a rule gives in its timezone; null for rules of several lines or unreadable ones."""
-    return pd.Series([_next(*row) for row in zip(rule, start, after, zone, strict=True)], dtype="datetime64[us]")
-
-
 def agenda(memories: DataFrame, mentioned: DataFrame, now: str) -> DataFrame:
     """(bank_id, part, memory_id, position, line_at, folded): dated lines, routines and undated tasks of each bank.
 
