@@ -227,8 +227,8 @@ def upcoming_events(spark, d):
 
 
 def _chunked(spark, d):
-    """Every fiftieth memory as a claim that says the next one's content again, five claims to a chunk."""
-    m = _m(spark, d).join(_vectors(spark, d).select("memory_id", "embedding"), "memory_id").where("memory_id % 50 IN (0, 10, 20)")
+    """Every fiftieth memory as a claim that says the next one's content again, two claims to a chunk."""
+    m = _m(spark, d).join(_vectors(spark, d).select("memory_id", "embedding"), "memory_id").where("memory_id % 50 = 0")
     return m.select(F.col("memory_id").alias("claim_id"), "bank_id", "content", "embedding", (F.col("memory_id") % 20 == 0).alias("flagged"), "observed_at", F.floor(F.col("memory_id") / 100).cast("long").alias("chunk_id"), F.col("memory_id").alias("ordinal"))
 
 
@@ -243,7 +243,7 @@ def claim_neighbours(spark, d):
 
 @query("""
 WITH v AS (SELECT vec_id AS memory_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-c AS (SELECT m.memory_id AS claim_id, m.bank_id, m.observed_at, v.e FROM d_memories m JOIN v USING (memory_id) WHERE m.memory_id % 100 IN (0, 20, 60)),
+c AS (SELECT m.memory_id AS claim_id, m.bank_id, m.observed_at, v.e FROM d_memories m JOIN v USING (memory_id) WHERE m.memory_id % 50 = 0),
 h AS (SELECT DISTINCT c.claim_id, c.observed_at AS said, c.e AS asked, l.memory_id FROM c JOIN d_links x ON x.memory_id = c.claim_id JOIN d_links l ON l.entity_id = x.entity_id AND l.bank_id = c.bank_id),
 r AS (SELECT h.claim_id, m.memory_id, row_number() OVER (PARTITION BY h.claim_id ORDER BY round(list_cosine_similarity(h.asked, v.e), 9) DESC NULLS LAST, m.observed_at DESC, m.memory_id) AS rank
   FROM h JOIN d_memories m ON m.memory_id = h.memory_id AND m.kind IN ('task', 'state') AND NOT m.retracted AND NOT m.hidden AND m.superseded_by IS NULL AND (m.valid_until IS NULL OR m.valid_until + INTERVAL 1 DAY > h.said) LEFT JOIN v ON v.memory_id = m.memory_id)
@@ -252,20 +252,20 @@ SELECT claim_id, memory_id, rank FROM r WHERE rank <= 10
 def linked_open(spark, d):
     links = derived(spark, d, "d_links")
     v = _vectors(spark, d)
-    claims = _m(spark, d).where("memory_id % 100 IN (0, 20, 60)").join(v.select("memory_id", "embedding"), "memory_id").select(F.col("memory_id").alias("claim_id"), "bank_id", "observed_at", "embedding", F.lit(True).alias("flagged"))
+    claims = _m(spark, d).where("memory_id % 50 = 0").join(v.select("memory_id", "embedding"), "memory_id").select(F.col("memory_id").alias("claim_id"), "bank_id", "observed_at", "embedding", F.lit(True).alias("flagged"))
     named = links.select(F.col("memory_id").alias("claim_id"), "entity_id").distinct()
     return C.linked_open(claims, named, links, _m(spark, d), v)
 
 
 def _fused(spark, d):
     """Neighbours by arithmetic: claim c has the memories c + 1 .. c + 12 by words and every second of them by links."""
-    claims = _m(spark, d).where("memory_id % 20 = 0").select(F.col("memory_id").alias("claim_id"), F.floor(F.col("memory_id") / 100).cast("long").alias("chunk_id"), F.col("memory_id").alias("ordinal"), (F.col("memory_id") % 40 == 0).alias("flagged"))
+    claims = _m(spark, d).select(F.col("memory_id").alias("claim_id"), F.floor(F.col("memory_id") / 100).cast("long").alias("chunk_id"), F.col("memory_id").alias("ordinal"), (F.col("memory_id") % 40 == 0).alias("flagged"))
     steps = claims.select("claim_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("rank"))
     fused = steps.select("claim_id", (F.col("claim_id") + F.col("rank")).alias("memory_id"), "rank", (1 - F.col("rank") / 20 - (F.col("claim_id") % 7) / 10).alias("similarity"))
     return claims, fused, fused.where("memory_id % 2 = 0").select("claim_id", "memory_id", (F.col("rank") / 2).cast("int").alias("rank"))
 
 
-_FUSED = """WITH c AS (SELECT memory_id AS claim_id, memory_id // 100 AS chunk_id, memory_id % 40 = 0 AS flagged FROM d_memories WHERE memory_id % 20 = 0),
+_FUSED = """WITH c AS (SELECT memory_id AS claim_id, memory_id // 100 AS chunk_id, memory_id % 40 = 0 AS flagged FROM d_memories),
 f AS (SELECT claim_id, claim_id + r AS memory_id, r AS rank, 1 - r / 20 - (claim_id % 7) / 10 AS similarity FROM c, range(1, 13) AS x(r)), o AS (SELECT claim_id, memory_id, rank // 2 AS rank FROM f WHERE memory_id % 2 = 0)"""
 
 
