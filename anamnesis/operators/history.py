@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,11 +120,46 @@ def turn_hash(user: Column, reply: Column) -> Column:
 
 
 def ingest(batch: DataFrame, stored: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Add ``outcome``: stored for the first row of a new key by ``order``, which is unique, duplicate for the rest."""
-    first = batch.groupBy(*key).agg(F.min(order).alias("_first"))
-    known = stored.select(*key).distinct().withColumn("_known", F.lit(True))
-    rows = batch.join(first.join(known, key, "left"), key)
-    return rows.withColumn("outcome", F.when(F.col("_known").isNull() & (F.col(order) == F.col("_first")), "stored").otherwise("duplicate")).drop("_first", "_known")
+    """Add ``outcome``: stored for the first row of a new key by ``order``, which is unique, duplicate for the rest; null keys are equal."""
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    seen = batch.select(*named, F.col(order).alias("_o"), F.lit(False).alias("_s")).union(stored.select(*named, F.lit(None).alias("_o"), F.lit(True).alias("_s")))
+    seen = seen.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min("_o").alias("_first"), F.bool_or("_s").alias("_known"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    rows = batch.join(seen, same)
+    new = ~F.col("_known") & (F.col(order) == F.col("_first"))
+    return rows.withColumn("outcome", F.when(new, "stored").otherwise("duplicate")).drop("_first", "_known", *[f"_k{i}" for i in range(len(key))])
+
+
+def keyed_turns(turns: DataFrame) -> DataFrame:
+    """Turns as they are stored: secrets redacted, the hash of the clean texts, the kinds found; of one that asks to forget the key only.
+
+    From (bank_id, session_id, message_at, user_text, reply_text, recall_id, forget_requested)
+    to these and ``content_hash``, ``secret_kinds``, ``tombstone_reason``; null texts
+    count as empty, other columns stay.
+    """
+    (user, found), (reply, more) = (redact_secrets(F.coalesce(c, F.lit(""))) for c in ("user_text", "reply_text"))
+    forgets = F.coalesce("forget_requested", F.lit(False))
+    rows = turns.withColumns({"_user": user, "_reply": reply, "_kinds": F.array_sort(F.array_union(found, more))})
+    kept = {"user_text": "_user", "reply_text": "_reply", "secret_kinds": "_kinds", "recall_id": "recall_id"}
+    return rows.withColumns(
+        {"content_hash": turn_hash(F.col("_user"), F.col("_reply")), **{c: F.when(~forgets, F.col(v)) for c, v in kept.items()}, "tombstone_reason": F.when(forgets, "forget_requested")}
+    ).drop("_user", "_reply", "_kinds")
+
+
+def ingest_turns(turns: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """``keyed_turns`` with ``outcome``: stored, tombstone or, by the key and a unique ``order``, duplicate.
+
+    The first row of a key counts, whether it asks to forget or not: a later one
+    with the same key changes nothing.
+    """
+    rows = ingest(keyed_turns(turns), stored, ["bank_id", "session_id", "message_at", "content_hash"], order)
+    return rows.withColumn("outcome", F.when((F.col("outcome") == "stored") & F.col("tombstone_reason").isNotNull(), "tombstone").otherwise(F.col("outcome")))
+
+
+def without_forgotten(recalls: DataFrame, turns: DataFrame, ingested: DataFrame, order: str) -> DataFrame:
+    """``recalls(bank_id, recall_id, ..)`` without those that the tombstones among ``ingested`` echoed."""
+    asked = turns.join(ingested.where("outcome = 'tombstone'").select(order), order, "left_semi")
+    return recalls.join(asked.select("bank_id", "recall_id"), ["bank_id", "recall_id"], "left_anti")
 
 
 def turn_numbers(sources: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from anamnesis.operators import retrieval as V
 from anamnesis.operators import strength as S
 from anamnesis.plans.registry import NOW, _checkpoints, _strength, query
 from anamnesis.plans.retrieval import HEADS, _vectors, recursive
+from anamnesis.plans.upkeep import _length_blob
 from anamnesis.sources.fixtures import derived, views
 from anamnesis.streaming import sessions as T
 
@@ -683,6 +684,32 @@ def session_context(spark, d):
     return T.session_context(rows).withColumn("in_context", F.array_join(F.col("in_context").cast("array<string>"), ","))
 
 
+_SENT = f"""
+p AS (SELECT session_id, bank_id, turn_no, min(message_at) AS message_at, max(CASE WHEN role = 'user' THEN text END) AS u,
+  max_by(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS r
+  FROM (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY turn) AS turn_no FROM d_messages) m WHERE turn_no > 0 GROUP BY ALL),
+t AS (SELECT *, coalesce(u, '') AS user_text, coalesce(r, '') AS reply_text, session_id * 10000 + turn_no * 10 AS n, turn_no % 5 = 2 AS forgets FROM p),
+h AS (SELECT *, sha256({_length_blob('user_text')} || encode(user_text) || {_length_blob('reply_text')} || encode(reply_text)) AS content_hash FROM t),
+sent AS (SELECT * FROM h UNION ALL BY NAME SELECT * REPLACE (n + 1 AS n, false AS forgets) FROM h WHERE session_id % 3 = 0)"""
+
+
+@query(f"""
+WITH {_SENT},
+k AS (SELECT *, row_number() OVER (PARTITION BY bank_id, session_id, message_at, content_hash ORDER BY n) AS seen FROM sent)
+SELECT session_id, turn_no, n % 10 AS delivery, CASE WHEN seen > 1 OR session_id % 5 = 0 THEN 'duplicate' WHEN forgets THEN 'tombstone' ELSE 'stored' END AS outcome,
+  content_hash, CASE WHEN NOT forgets THEN sha256(user_text) END AS user_sha256, CASE WHEN forgets THEN 'forget_requested' END AS tombstone_reason
+FROM k
+""")
+def ingest_turns(spark, d):
+    """Turns of the test tables, those of every third session sent twice, on top of a store that holds every fifth; a session's second, seventh .. ask to forget when sent first."""
+    t = H.pair_turns(derived(spark, d, "d_messages")).withColumn("n", F.col("session_id") * 10000 + F.col("turn_no") * 10)
+    t = t.withColumn("forget_requested", F.col("turn_no") % 5 == 2).withColumn("recall_id", F.lit(None).cast("string"))
+    again = t.where("session_id % 3 = 0").withColumn("n", F.col("n") + 1).withColumn("forget_requested", F.lit(False))
+    stored = H.keyed_turns(t.where("session_id % 5 = 0"))
+    rows = H.ingest_turns(t.unionByName(again), stored, "n")
+    return rows.select("session_id", "turn_no", (F.col("n") % 10).alias("delivery"), "outcome", "content_hash", F.sha2("user_text", 256).alias("user_sha256"), "tombstone_reason")
+
+
 @query()
 def trigger_debounce(spark, d):
     views(spark, d)

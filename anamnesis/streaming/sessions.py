@@ -6,9 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from anamnesis.operators.history import keyed_turns
 
 # Fixed values of sessions and of refreshes.
 PENDING, IDLE_US, QUIET_US, CAP_US = 4, 7 * 86_400_000_000, 5 * 60_000_000, 30 * 60_000_000
@@ -18,6 +22,12 @@ EVENTS = "bank_id long, session_id string, at_us long, type string, recall_id st
 CONTEXT = "bank_id long, session_id string, at_us long, in_context array<bigint>"
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Keep the state of streams that this session starts from now on in RocksDB, its changes checkpointed; a stream begun before keeps its own kind."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def step(state: dict[str, Any] | None, event: dict[str, Any]) -> dict[str, Any]:
     """The session's state after one event; a week without events empties it first."""
     if state is None or event["at_us"] - state["touched"] >= IDLE_US:
@@ -47,42 +57,85 @@ def step(state: dict[str, Any] | None, event: dict[str, Any]) -> dict[str, Any]:
     return {"context": context, "pending": pending, "touched": event["at_us"]}
 
 
+def _place(event: dict[str, Any]) -> tuple:
+    recall = event["recall_id"]
+    return event["at_us"], RANK.get(event["type"], 9), recall is not None, recall or ""
+
+
 def _ordered(events: pd.DataFrame) -> list[dict[str, Any]]:
-    events = events.assign(_r=events["type"].map(RANK).fillna(9))
-    return events.sort_values(["at_us", "_r", "recall_id"], na_position="first").to_dict("records")
+    return sorted(events.to_dict("records"), key=_place)
 
 
-def session_context(events: DataFrame) -> DataFrame:
-    """(bank_id, session_id, at_us, in_context) after all events of each session in a table."""
+STATE = "context array<bigint>, recalls array<string>, found array<array<bigint>>, touched bigint"
+HELD = "bank_id long, session_id string, " + STATE
+
+
+def _packed(state: dict[str, Any]) -> tuple:
+    return state["context"], [r for r, _ in state["pending"]], [f for _, f in state["pending"]], state["touched"]
+
+
+def session_states(events: DataFrame) -> DataFrame:
+    """What each session of a table holds after its events, pending look-ups too: where a stream may go on from."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state = None
         for event in _ordered(rows):
             state = step(state, event)
-        return pd.DataFrame([(key[0], key[1], state["touched"], state["context"])], columns=["bank_id", "session_id", "at_us", "in_context"])
+        return pd.DataFrame([(*key, *_packed(state))], columns=["bank_id", "session_id", "context", "recalls", "found", "touched"])
+
+    return events.groupBy("bank_id", "session_id").applyInPandas(run, HELD)
+
 
-    return events.groupBy("bank_id", "session_id").applyInPandas(run, CONTEXT)
+def session_context(events: DataFrame) -> DataFrame:
+    """(bank_id, session_id, at_us, in_context) after all events of each session in a table."""
+    return session_states(events).select("bank_id", "session_id", F.col("touched").alias("at_us"), F.col("context").alias("in_context"))
+
+
+def _one_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Leave the key with this timer only."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
+
+
+class _Sessions(StatefulProcessor):
+    """A session's context and pending look-ups; a timer a week after its last event drops them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("session", STATE)
+
+    def _keep(self, held: tuple, timers: TimerValues) -> None:
+        self.held.update(held)
+        _one_timer(self.handle, max((held[3] + IDLE_US) // 1000, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self._keep(tuple(initialState[c] for c in ("context", "recalls", "found", "touched")), timerValues)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        state = None
+        if self.held.exists():
+            context, recalls, found, touched = self.held.get()
+            state = {"context": list(context), "pending": list(zip(recalls, [list(f) for f in found], strict=True)), "touched": touched}
+        for event in sorted((r.asDict() for r in rows), key=_place):
+            state = step(state, event)
+        self._keep(_packed(state), timerValues)
+        yield Row(bank_id=key[0], session_id=key[1], at_us=state["touched"], in_context=state["context"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter([])
 
-def stream_session_context(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same of a stream with ``event_time``: a row for each session that a batch touched; a week's silence drops the state."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = None
-        if state.exists:
-            context, recalls, found, touched = state.get
-            held = {"context": list(context), "pending": list(zip(recalls, [list(f) for f in found], strict=True)), "touched": touched}
-        for event in _ordered(pd.concat(list(batches))):
-            held = step(held, event)
-        state.update((held["context"], [r for r, _ in held["pending"]], [f for _, f in held["pending"]], held["touched"]))
-        state.setTimeoutTimestamp(max(held["touched"] // 1000 + IDLE_US // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], key[1], held["touched"], held["context"])], columns=["bank_id", "session_id", "at_us", "in_context"])
+def stream_session_context(events: DataFrame, late: str = "10 minutes", held: DataFrame | None = None) -> DataFrame:
+    """The same of a stream with ``event_time``: a row for each session that a batch touched; a week's silence drops the state.
 
+    ``held`` are the ``session_states`` of the events before the stream, which the
+    first batch takes over. State is kept as ``keyed_state`` says.
+    """
+    keyed_state(events.sparkSession)
     rows = events.withWatermark("event_time", late).groupBy("bank_id", "session_id")
-    return rows.applyInPandasWithState(run, CONTEXT, "context array<bigint>, recalls array<string>, found array<array<bigint>>, touched long", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.transformWithState(_Sessions(), CONTEXT, "update", "EventTime", held.groupBy("bank_id", "session_id") if held is not None else None)
 
 
 def debounced(times: list[int]) -> list[tuple[int, int, int]]:
@@ -98,52 +151,115 @@ def debounced(times: list[int]) -> list[tuple[int, int, int]]:
 
 
 DUE = "bank_id long, first_us long, due_us long, triggers long"
+OPEN = "bank_id long, times array<bigint>"
 
 
-def trigger_debounce(triggers: DataFrame) -> DataFrame:
-    """(bank_id, first_us, due_us, triggers) of a table.
+def _bursts(triggers: DataFrame, until_us: int | None, over: bool) -> DataFrame:
+    """Bursts whose due time has come by ``until_us`` (all without one), or, not ``over``, the triggers of those still open then.
 
     Five quiet minutes end a burst in any case, so a bank's triggers fall into
     session windows, and each window is cut at the cap by itself.
     """
     window = F.session_window(F.timestamp_micros("at_us"), "5 minutes")
-    rows = triggers.groupBy("bank_id", window.alias("w")).agg(F.collect_list("at_us").alias("times"))
+    rows = triggers.groupBy("bank_id", window.alias("w")).agg(F.collect_list("at_us").alias("times"), F.max("at_us").alias("last"))
+    if not over:  # not by the window's end: that filter would be pushed below the windows' merge
+        rows = rows.where(F.col("last") + QUIET_US > until_us)
+    columns = ["bank_id", "first_us", "due_us", "triggers"] if over else ["bank_id", "times"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(bank, *x) for bank, times in zip(b["bank_id"], b["times"], strict=True) for x in debounced(list(times))]
-            yield pd.DataFrame(found, columns=["bank_id", "first_us", "due_us", "triggers"])
+            found = []
+            for bank, times in zip(b["bank_id"], b["times"], strict=True):
+                bursts, times = debounced(list(times)), sorted(times)
+                done = [x for x in bursts if until_us is None or x[1] <= until_us]
+                left = times[sum(x[2] for x in done) :]
+                found += [(bank, *x) for x in done] if over else [(bank, left)] if left else []
+            yield pd.DataFrame(found, columns=columns)
 
-    return rows.select("bank_id", "times").mapInPandas(run, DUE)
+    return rows.select("bank_id", "times").mapInPandas(run, DUE if over else OPEN)
 
 
-def stream_trigger_debounce(triggers: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Bursts of a stream with ``event_time``, each given out once the watermark has passed its due time."""
+def trigger_debounce(triggers: DataFrame, until_us: int | None = None) -> DataFrame:
+    """(bank_id, first_us, due_us, triggers) of a table, or of its bursts that are due by ``until_us``."""
+    return _bursts(triggers, until_us, True)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for b in batches:
-            times += [int(t) for t in b["at_us"]]
-        mark = state.getCurrentWatermarkMs() * 1000
-        bursts = debounced(times)
-        over = [b for b in bursts if b[1] <= mark]
-        left = sorted(times)[sum(b[2] for b in over) :]
+
+def open_triggers(triggers: DataFrame, until_us: int) -> DataFrame:
+    """(bank_id, times): the triggers up to ``until_us`` whose burst is not due then, where a stream may go on from."""
+    return _bursts(triggers.where(F.col("at_us") <= until_us), until_us, False)
+
+
+class _Bursts(StatefulProcessor):
+    """The triggers of bursts that are not due; a timer at the first due time gives bursts out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("triggers", "times array<bigint>")
+
+    def _held(self) -> list[int]:
+        return list(self.times.get()[0]) if self.times.exists() else []
+
+    def _keep(self, times: list[int], timers: TimerValues) -> None:
+        self.times.update((times,))
+        _one_timer(self.handle, max(-(-debounced(times)[0][1] // 1000), timers.getCurrentWatermarkInMs() + 1))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self._keep(self._held() + list(initialState["times"]), timerValues)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        self._keep(self._held() + [r["at_us"] for r in rows], timerValues)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        times, mark = sorted(self._held()), timerValues.getCurrentWatermarkInMs() * 1000
+        over = [b for b in debounced(times) if b[1] <= mark]
+        left = times[sum(b[2] for b in over) :]
         if left:
-            state.update((left,))
-            state.setTimeoutTimestamp(max(debounced(left)[0][1] // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if over:
-            yield pd.DataFrame([(key[0], *b) for b in over], columns=["bank_id", "first_us", "due_us", "triggers"])
+            self._keep(left, timerValues)
+        else:
+            self.times.clear()
+        for first, due, n in over:
+            yield Row(bank_id=key[0], first_us=first, due_us=due, triggers=n)
 
+
+def stream_trigger_debounce(triggers: DataFrame, late: str = "1 minute", held: DataFrame | None = None) -> DataFrame:
+    """Bursts of a stream with ``event_time``, each given out once the watermark has passed its due time.
+
+    ``held`` are the ``open_triggers`` of the table before the stream. State is kept as ``keyed_state`` says.
+    """
+    keyed_state(triggers.sparkSession)
     rows = triggers.withWatermark("event_time", late).groupBy("bank_id")
-    return rows.applyInPandasWithState(run, DUE, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.transformWithState(_Bursts(), DUE, "append", "EventTime", held.groupBy("bank_id") if held is not None else None)
+
+
+KEY = ("bank_id", "session_id", "message_at", "content_hash")
+
+
+def stream_turns(turns: DataFrame, stored: str, checkpoint: str, before: DataFrame | None = None) -> StreamingQuery:
+    """Append each turn of a stream once to the table at ``stored``, however often and late it comes again; returns the running query.
+
+    Turns are redacted, hashed and, where they ask to forget, reduced to their
+    keys, as ``history.ingest_turns`` does. The keys seen stay in state on disk
+    and never expire, so no batch reads what is stored. ``before`` is a
+    table that was stored before the stream began; its keys are matched as they
+    stood then. Each batch is a folder of its own, which a second run of a failed
+    batch writes over. State is kept as ``keyed_state`` says.
+    """
+    keyed_state(turns.sparkSession)
+    new = keyed_turns(turns).dropDuplicates(list(KEY))
+    if before is not None:
+        new = new.join(before.select(*KEY).distinct(), list(KEY), "left_anti")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{stored}/batch={n}")
+
+    return new.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_ingest(turns: DataFrame, stored: str, checkpoint: str, key: tuple[str, ...] = ("bank_id", "session_id", "message_at", "turn_hash")):
     """Append each turn once to the table at ``stored``, however often and late it comes again; returns the running query.
 
-    A batch that is run again after a failure finds its own rows stored already.
+    For tables of any key without state of their own: each batch reads the stored keys (``stream_turns`` does not). A batch that is run again after a failure finds its own rows stored already.
     """
 
     def put(batch: DataFrame, n: int) -> None:
