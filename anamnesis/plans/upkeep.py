@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from anamnesis.operators import browse as B
 from anamnesis.operators import chunking as C
+from anamnesis.operators import fading as Z
 from anamnesis.operators import history as H
 from anamnesis.operators import recall as R
 from anamnesis.operators import strength as S
@@ -201,6 +206,40 @@ def list_memories(spark, d):
     return U.list_memories(rows, [F.desc("observed_at"), F.col("memory_id")], 20, page=1).select("memory_id", "number")
 
 
+def _scratch(spark, name):
+    _checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT memory_id, row_number() OVER (ORDER BY observed_at DESC, memory_id DESC) AS number FROM d_memories WHERE observed_at >= TIMESTAMP '2024-01-03 00:00:00' AND owner_significance IS DISTINCT FROM 'kept' QUALIFY number > 140 AND number <= 160
+""")
+def list_pages(spark, d):
+    """The eighth page of twenty in a kept order: half of it by its number, half by the row before."""
+    rows = B.listed(derived(spark, d, "d_memories").withColumn("created_at", F.col("observed_at")), B.Listing(kept=False, observed_from=datetime(2024, 1, 3)))
+    folder = B.write_listing(rows.select("memory_id", "created_at"), "created", _scratch(spark, "listing"))
+    first = B.page_at(spark, folder, 14, 10).select("memory_id", "number", "place").collect()
+    last = max(first, key=lambda r: r["number"], default=None)
+    page = B.page_at(spark, folder, 14, 10).select("memory_id", F.col("number").cast("long").alias("number"))
+    if last is None:
+        return page
+    more = B.page_after(spark, folder, 10, last["place"])
+    return page.unionByName(more.select("memory_id", (F.row_number().over(W.orderBy("place")) + last["number"]).cast("long").alias("number")))
+
+
+@query()
+def list_fading(spark, d):
+    """Live memories that fade in more than thirty bank days: the first fifty by the latest to fade, with the counts of every status."""
+    _checkpoints(spark)
+    m = derived(spark, d, "d_memories")
+    faded = Z.fading(m, derived(spark, d, "d_accesses"), derived(spark, d, "d_messages"), S.chain_heads(m), NOW).select("memory_id", "fades_in_days")
+    status = H.memory_status(F.col("retracted"), F.col("superseded_by").isNotNull(), S.has_ended(m, F.lit(NOW).cast("timestamp")), F.col("hidden"))
+    rows = m.select("memory_id", status.alias("status")).join(faded, "memory_id").join(_strength(spark, d).select("memory_id", "value"), "memory_id")
+    rows = B.listed(rows, B.Listing(fading="over_month")).checkpoint()
+    page = B.page_at(spark, B.write_listing(rows.where("status = 'live'"), "fade_latest", _scratch(spark, "listing")), 0, 50)
+    return page.select("memory_id", F.col("number").cast("long").alias("number"), "fades_in_days", "status").join(F.broadcast(B.listed_totals(rows, "live")), "status")
+
+
 @query("""
 WITH s AS (SELECT user_id % 8 AS bank_id, user_id AS memory_id, CAST(date_trunc('week', ts) AS DATE) AS week, value / 100 - 1 AS value, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts DESC, value DESC) AS n FROM events)
 SELECT bank_id, week, CASE WHEN value > 0.3 THEN 'strong' WHEN value >= -0.7 THEN 'fading' ELSE 'faded' END AS band, count(*) AS memories FROM s WHERE n = 1 GROUP BY 1, 2, 3
