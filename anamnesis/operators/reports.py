@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anamnesis.operators import strength as S
+from anamnesis.operators.history import nearest_rank
 
 
 def _n(c: Column) -> Column:
@@ -101,6 +102,39 @@ def injected_tokens(prefetches: DataFrame, synced: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count("*").alias("prefetches"), F.sum("tokens").alias("tokens"))
 
 
+def turn_tokens(prefetches: DataFrame, points: dict[str, float]) -> DataFrame:
+    """(of, prefetches, tokens, samples, and the ``points`` of the samples' tokens), one row for ``turns`` and one for ``cron``.
+
+    ``prefetches(session_id, tokens, cron, prefetch_only)``. Samples are the synced
+    turns of sessions that are not cron's; cron has none.
+    """
+    cron, only = (F.coalesce(c, F.lit(False)) for c in ("cron", "prefetch_only"))
+    rows = prefetches.select(F.when(cron, "cron").otherwise("turns").alias("of"), "tokens", (~cron & ~only).alias("told"))
+    sums = rows.groupBy("of").agg(F.count("*").alias("prefetches"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), _n(F.col("told")).alias("samples"))
+    return sums.join(nearest_rank(rows.where("told"), ["of"], "tokens", points), "of", "left")
+
+
+def day_series(sweeps: DataFrame, refreshes: DataFrame, banks: DataFrame) -> DataFrame:
+    """(series, bank_id, day, n) by the day of the bank's own ``timezone``: purges, refresh_calls, agenda_lines.
+
+    ``sweeps(bank_id, at, purged, agenda_lines)``: days on which something was
+    purged, and how long the agenda was after the day's last sweep, the longer of two at
+    one instant. ``refreshes(bank_id, at, calls)``.
+    """
+    zones = banks.select("bank_id", F.coalesce("timezone", F.lit("UTC")).alias("_zone"))
+    local = lambda rows: rows.join(zones, "bank_id").withColumn("day", F.to_date(F.from_utc_timestamp("at", F.col("_zone"))))
+    swept = local(sweeps).groupBy("bank_id", "day").agg(F.sum("purged").alias("purges"), F.max(F.struct("at", "agenda_lines"))["agenda_lines"].alias("agenda_lines"))
+    called = local(refreshes).groupBy("bank_id", "day").agg(F.sum("calls").alias("n"))
+    of = lambda rows, name, n: rows.select(F.lit(name).alias("series"), "bank_id", "day", F.col(n).cast("long").alias("n"))
+    return of(swept.where("purges > 0"), "purges", "purges").unionByName(of(called, "refresh_calls", "n")).unionByName(of(swept, "agenda_lines", "agenda_lines"))
+
+
+def latency_summary(samples: DataFrame, points: dict[str, float]) -> DataFrame:
+    """(level, samples, the ``points`` of value, max, reranked_share) of ``samples(level, value, reranked)``."""
+    whole = samples.groupBy("level").agg(F.count("*").alias("samples"), F.max("value").alias("max"), F.avg(F.coalesce("reranked", F.lit(False)).cast("double")).alias("reranked_share"))
+    return whole.join(nearest_rank(samples, ["level"], "value", points), "level", "left")
+
+
 def review_rate(chunks: DataFrame, plan: DataFrame) -> DataFrame:
     """(chunks, reviewed, rate, promoted, rejected, across_kinds): one row over ``chunks(chunk_id, review)`` and the lines of ``plan_reconcile``."""
     a = chunks.agg(F.count("*").alias("chunks"), _n(F.col("review")).alias("reviewed")).withColumn("rate", F.try_divide("reviewed", "chunks"))

@@ -672,6 +672,50 @@ def projections(spark, d):
     return rows.withColumn("guards", F.array_join("guards", ","))
 
 
+_ZONES = ("Europe/Berlin", "America/New_York", "Asia/Kolkata")
+
+
+@query("""
+WITH z AS (SELECT bank_id, CASE bank_id % 3 WHEN 0 THEN INTERVAL 60 MINUTE WHEN 1 THEN INTERVAL (-300) MINUTE ELSE INTERVAL 330 MINUTE END AS off FROM range(8) r(bank_id)),
+a AS (SELECT memory_id % 8 AS bank_id, access_id, kind, accessed_at, CAST(accessed_at + off AS DATE) AS day FROM d_accesses JOIN z ON memory_id % 8 = z.bank_id),
+s AS (SELECT bank_id, day, sum(access_id % 3) AS purges, max_by(access_id % 11, (accessed_at, access_id % 11)) AS lines FROM a WHERE kind = 'confirmed' GROUP BY 1, 2)
+SELECT 'purges' AS series, bank_id, day, CAST(purges AS BIGINT) AS n FROM s WHERE purges > 0 UNION ALL SELECT 'agenda_lines', bank_id, day, lines FROM s
+UNION ALL SELECT 'refresh_calls', bank_id, day, CAST(sum(1 + access_id % 2) AS BIGINT) FROM a WHERE kind = 'used' GROUP BY 2, 3
+""")
+def day_series(spark, d):
+    """Confirmations of the test tables as sweeps, uses as refreshes; no zone changes its clocks in the events' time."""
+    a = derived(spark, d, "d_accesses").select((F.col("memory_id") % 8).alias("bank_id"), F.col("accessed_at").alias("at"), "kind", "access_id")
+    zone = F.element_at(F.array(*[F.lit(z) for z in _ZONES]), (F.col("bank_id") % 3 + 1).cast("int"))
+    banks = spark.range(8).select(F.col("id").alias("bank_id")).withColumn("timezone", zone)
+    sweeps = a.where("kind = 'confirmed'").select("bank_id", "at", (F.col("access_id") % 3).alias("purged"), (F.col("access_id") % 11).alias("agenda_lines"))
+    return P.day_series(sweeps, a.where("kind = 'used'").select("bank_id", "at", (1 + F.col("access_id") % 2).alias("calls")), banks)
+
+
+@query("""
+WITH p AS (SELECT CASE WHEN session_id % 7 = 0 THEN 'cron' ELSE 'turns' END AS "of", length(text) AS tokens, session_id % 7 <> 0 AND turn % 4 <> 2 AS told FROM d_messages WHERE role = 'user'),
+r AS (SELECT "of", tokens, row_number() OVER (PARTITION BY "of" ORDER BY tokens) - 1 AS i, count(*) OVER (PARTITION BY "of") AS n FROM p WHERE told),
+q AS (SELECT "of", max(CASE WHEN i = floor((n - 1) * 0.5 + 0.5) THEN tokens END) AS p50, max(CASE WHEN i = floor((n - 1) * 0.95 + 0.5) THEN tokens END) AS p95 FROM r GROUP BY 1)
+SELECT s.*, p50, p95 FROM (SELECT "of", count(*) AS prefetches, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (told) AS samples FROM p GROUP BY 1) s LEFT JOIN q USING ("of")
+""")
+def turn_tokens(spark, d):
+    """Users' messages as look-ups of as many tokens as they have characters; every seventh session is cron's."""
+    rows = derived(spark, d, "d_messages").where("role = 'user'")
+    rows = rows.select("session_id", F.length("text").cast("long").alias("tokens"), (F.col("session_id") % 7 == 0).alias("cron"), (F.col("turn") % 4 == 2).alias("prefetch_only"))
+    return P.turn_tokens(rows, {"p50": 0.5, "p95": 0.95})
+
+
+@query("""
+WITH e AS (SELECT user_id % 3 AS level, value, event_type = 'click' AS reranked FROM events),
+r AS (SELECT level, value, row_number() OVER (PARTITION BY level ORDER BY value) AS i, count(*) OVER (PARTITION BY level) AS n FROM e)
+SELECT level, any_value(n) AS samples, max(value) AS max, (SELECT avg(CASE WHEN reranked THEN 1.0 ELSE 0.0 END) FROM e WHERE e.level = r.level) AS reranked_share,
+max(CASE WHEN i - 1 = floor((n - 1) * 0.5 + 0.5) THEN value END) AS p50, max(CASE WHEN i - 1 = floor((n - 1) * 0.95 + 0.5) THEN value END) AS p95, max(CASE WHEN i - 1 = floor((n - 1) * 0.99 + 0.5) THEN value END) AS p99 FROM r GROUP BY level
+""")
+def latency_summary(spark, d):
+    views(spark, d)
+    rows = spark.table("events").select((F.col("user_id") % 3).alias("level"), "value", (F.col("event_type") == "click").alias("reranked"))
+    return P.latency_summary(rows, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 # -- streams ---------------------------------------------------------------------
 
 
