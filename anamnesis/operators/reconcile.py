@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,12 +12,13 @@ from pyspark.sql import functions as F
 from anamnesis.operators import cells as N
 from anamnesis.operators import recall as R
 from anamnesis.operators import strength as S
-from anamnesis.operators.retrieval import cosine
 
 # Fixed values of reconciliation.
 PER_CLAIM, PER_CHUNK, GAP = 10, 40, 2
 LEVELS = {"trivial": 0, "minor": 1, "notable": 2, "major": 3, "critical": 4, "kept": 5}
 TASKS = ("task", "recurring")
+#: A time after all others; the cosine of a pair that has none, below all others.
+LAST, NO_COSINE = (1 << 63) - 1, -3.0
 REPEATS, CHANGES = ("mentioned_again", "confirmed"), ("ends", "retracts", "denies", "refines")
 
 
@@ -38,19 +41,77 @@ def claim_neighbours(claims: DataFrame, memories: DataFrame, vectors: DataFrame,
     return fused.where(F.col("rank") <= most).join(sims, ["query_id", "memory_id"], "left").select(F.col("query_id").alias("claim_id"), "memory_id", "similarity", "rank")
 
 
-def linked_open(claims: DataFrame, claim_entities: DataFrame, links: DataFrame, memories: DataFrame, vectors: DataFrame, most: int = PER_CLAIM) -> DataFrame:
+def linked_open(claims: DataFrame, claim_entities: DataFrame, links: DataFrame, memories: DataFrame, vectors: DataFrame, most: int = PER_CLAIM, claims_per_block: int = 2_000, rows_per_block: int = 20_000) -> DataFrame:
     """(claim_id, memory_id, rank): for claims that flag a change, open tasks and states of an entity they name.
 
     Only heads that stand and had not ended when the claim was said; by cosine,
-    those without a vector last, then newer, then the lower id.
+    those without a vector last, then newer, then the lower id. An entity's claims and
+    memories meet in blocks that give each claim's best ``most``, so no row is made per pair.
     """
-    flagged = claims.where("flagged").select("claim_id", "bank_id", F.col("observed_at").alias("said"), F.col("embedding").alias("asked"))
-    open_ = memories.where("kind IN ('task', 'state') AND NOT retracted AND NOT hidden AND superseded_by IS NULL").withColumn("_end", S.unit_end(F.col("valid_until").cast("timestamp"), S._column(memories, "valid_until_precision", "day"), S._column(memories, "timezone", "UTC")))
-    hits = flagged.join(claim_entities, "claim_id").join(links, ["bank_id", "entity_id"]).select("claim_id", "said", "asked", "memory_id").dropDuplicates(["claim_id", "memory_id"])
-    rows = hits.join(open_.select("memory_id", "observed_at", "_end"), "memory_id").where(F.col("_end").isNull() | (F.col("_end") > F.col("said")))
-    rows = rows.join(vectors.select("memory_id", "embedding"), "memory_id", "left").withColumn("near", F.round(cosine(F.col("embedding"), F.col("asked")), 9))
-    order = W.partitionBy("claim_id").orderBy(F.desc_nulls_last("near"), F.desc("observed_at"), "memory_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("claim_id", "memory_id", "rank")
+    key = ["bank_id", "entity_id"]
+    whole = F.when(~F.exists("embedding", lambda x: x.isNull()), F.col("embedding"))
+    said = F.coalesce(S.micros(F.col("observed_at").cast("timestamp")), F.lit(LAST - 1))
+    flagged = claims.where("flagged").select("claim_id", "bank_id", said.alias("said"), whole.alias("asked"))
+    asked = flagged.join(claim_entities.select("claim_id", "entity_id").distinct(), "claim_id")
+    open_ = memories.where("kind IN ('task', 'state') AND NOT retracted AND NOT hidden AND superseded_by IS NULL")
+    end = S.unit_end(F.col("valid_until").cast("timestamp"), S._column(memories, "valid_until_precision", "day"), S._column(memories, "timezone", "UTC"))
+    open_ = open_.select("memory_id", F.coalesce(S.micros(F.col("observed_at").cast("timestamp")), F.lit(-LAST)).alias("observed"), F.coalesce(S.micros(end), F.lit(LAST)).alias("end"))
+    held = links.select("memory_id", *key).distinct().join(open_, "memory_id").join(vectors.select("memory_id", whole.alias("embedding")), "memory_id", "left")
+    parts = asked.groupBy(*key).agg(F.ceil(F.count("*") / claims_per_block).alias("_parts"))
+    blocks = held.groupBy(*key).agg(F.ceil(F.count("*") / rows_per_block).alias("_blocks"))
+    sizes = parts.join(blocks, key)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, key).select(*key, F.pmod(F.xxhash64("claim_id"), "_parts").alias("_part"), each("_blocks").alias("_block"), "claim_id", "said", "asked")
+    right = held.join(sizes, key).select(*[F.col(c).alias(f"_{c}") for c in key], each("_parts").alias("_of"), F.pmod(F.xxhash64("memory_id"), "_blocks").alias("_at"), "memory_id", "observed", "end", "embedding")
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        claim, memory, near, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+        if one.num_rows and two.num_rows:
+            two = two.sort_by([("observed", "descending"), ("memory_id", "ascending")])
+            ids, observed, ends, said = (t[c].to_numpy() for t, c in ((two, "memory_id"), (two, "observed"), (two, "end"), (one, "said")))
+            v, q = two["embedding"].combine_chunks(), one["asked"].combine_chunks()
+            for a in range(0, len(q), 256):
+                score = _cosines(q[a : a + 256], v)
+                score[ends[None, :] <= said[a : a + 256, None]] = -np.inf
+                row, col = _best(score, most)
+                claim.append(one["claim_id"].to_numpy()[a + row])
+                memory.append(ids[col])
+                near.append(score[row, col])
+                seen.append(observed[col])
+        return pa.table([np.concatenate(x) for x in (claim, memory, near, seen)], names=["claim_id", "memory_id", "near", "observed"])
+
+    found = left.groupBy(*key, "_part", "_block").cogroup(right.groupBy("_bank_id", "_entity_id", "_of", "_at")).applyInArrow(run, "claim_id long, memory_id long, near double, observed long")
+    found = found.groupBy("claim_id", "memory_id").agg(F.max("near").alias("near"), F.max("observed").alias("observed"))
+    order = W.partitionBy("claim_id").orderBy(F.desc("near"), F.desc("observed"), "memory_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("claim_id", "memory_id", "rank")
+
+
+def _cosines(one: pa.ListArray, two: pa.ListArray) -> np.ndarray:
+    """Cosines of all pairs, rounded to nine digits; NaN is above all, pairs that have none are at NO_COSINE."""
+    out = np.full((len(one), len(two)), NO_COSINE)
+    sizes = [np.array([-1 if n is None else n for n in x.value_lengths().to_pylist()], np.int64) for x in (one, two)]
+    for n in np.intersect1d(*sizes):
+        if n < 1:
+            continue
+        at = [np.flatnonzero(s == n) for s in sizes]
+        a, b = (x.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) for x, k in zip((one, two), at, strict=True))
+        norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cos = np.round((a @ b.T) / norm, 9)
+        out[np.ix_(*at)] = np.where(norm == 0, NO_COSINE, np.where(np.isnan(cos), np.inf, cos))
+    return out
+
+
+def _best(score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``most`` largest scores above -inf; of equal ones the first columns."""
+    live = score > -np.inf
+    if score.shape[1] > most:
+        live &= score >= np.partition(score, -most, axis=1)[:, [-most]]
+    row, col = np.nonzero(live)
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < most], col[place < most]
 
 
 def neighbour_lists(fused: DataFrame, open_: DataFrame, claims: DataFrame, most: int = PER_CHUNK) -> DataFrame:

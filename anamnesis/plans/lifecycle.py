@@ -244,7 +244,7 @@ def claim_neighbours(spark, d):
 
 @query("""
 WITH v AS (SELECT vec_id AS memory_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-c AS (SELECT m.memory_id AS claim_id, m.bank_id, m.observed_at, v.e FROM d_memories m JOIN v USING (memory_id) WHERE m.memory_id % 50 = 0),
+c AS (SELECT m.memory_id AS claim_id, m.bank_id, m.observed_at, v.e FROM d_memories m JOIN v USING (memory_id)),
 h AS (SELECT DISTINCT c.claim_id, c.observed_at AS said, c.e AS asked, l.memory_id FROM c JOIN d_links x ON x.memory_id = c.claim_id JOIN d_links l ON l.entity_id = x.entity_id AND l.bank_id = c.bank_id),
 r AS (SELECT h.claim_id, m.memory_id, row_number() OVER (PARTITION BY h.claim_id ORDER BY round(list_cosine_similarity(h.asked, v.e), 9) DESC NULLS LAST, m.observed_at DESC, m.memory_id) AS rank
   FROM h JOIN d_memories m ON m.memory_id = h.memory_id AND m.kind IN ('task', 'state') AND NOT m.retracted AND NOT m.hidden AND m.superseded_by IS NULL AND (m.valid_until IS NULL OR m.valid_until + INTERVAL 1 DAY > h.said) LEFT JOIN v ON v.memory_id = m.memory_id)
@@ -253,7 +253,7 @@ SELECT claim_id, memory_id, rank FROM r WHERE rank <= 10
 def linked_open(spark, d):
     links = derived(spark, d, "d_links")
     v = _vectors(spark, d)
-    claims = _m(spark, d).where("memory_id % 50 = 0").join(v.select("memory_id", "embedding"), "memory_id").select(F.col("memory_id").alias("claim_id"), "bank_id", "observed_at", "embedding", F.lit(True).alias("flagged"))
+    claims = _m(spark, d).join(v.select("memory_id", "embedding"), "memory_id").select(F.col("memory_id").alias("claim_id"), "bank_id", "observed_at", "embedding", F.lit(True).alias("flagged"))
     named = links.select(F.col("memory_id").alias("claim_id"), "entity_id").distinct()
     return C.linked_open(claims, named, links, _m(spark, d), v)
 
