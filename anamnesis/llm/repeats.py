@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import located, numbered, staged
+from .common import discard, located, numbered, staged
 from .textvec import mix, pieces, prefix_sums, span_hash
 
 LENGTH = 200
@@ -395,12 +395,18 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(many, [key, "salt"]).drop("salt")
 
 
-def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
-    """(id, start, end) byte spans covered by repeated windows; they may overlap."""
+def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """(id, start, end) byte spans covered by repeated windows; they may overlap.
+
+    ``spent`` are staged tables that only ``anchors`` reads; they are used up.
+    """
     each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "left", "right", "around")).alias("a")).select("id", "a.*")
     again = staged(_repeated(each, "gram"), "repeats-again")
+    del anchors, each
+    discard(*spent, collect=True)
     keyed = again.select("id", "at", "gram", "around", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
     keyed = staged(_repeated(keyed, "key").select("id", "at", "gram", "around").distinct(), "repeats-keyed")
+    discard(again, collect=True)
     # equal surroundings are one entry of a run, with its places
     kinds = keyed.groupBy("gram", "around").agg(F.count("*").alias("n"))
     often = kinds.groupBy("gram").agg(F.count("*").alias("f"), F.sum("n").alias("n")).where((F.col("f") > frequent) | (F.col("n") > frequent * PLACES))
@@ -408,15 +414,21 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gr
     again = keyed.withColumn("salt", _salt()).join(often, ["gram", "salt"], "left")
     again = again.select("id", F.struct("at", "gram", F.coalesce("often", F.lit(False)).alias("often")).alias("a"))
     found = staged(again.groupBy("id").agg(F.collect_list("a").alias("anchors")), "repeats-anchors")
+    del again, kinds, often
+    discard(keyed, collect=True)
     total = found.agg(F.sum(F.size("anchors"))).first()[0] or 0
     ranges = max(1, -(-total // RANGE_ROWS))
     runs = staged(_run_rows(docs.join(found, "id").select("id", "text", "anchors"), length, gram, ranges), "repeats-runs")
+    discard(found, collect=True)
     merged = runs.where("range IS NOT NULL").groupBy("range").applyInArrow(_merged_spans(length, gram), "id long, start long, end long")
     windows = runs.where("key IS NOT NULL").select("key", "id", "at", "j")
     twice = windows.select("key", "id", (F.col("at") - F.col("j")).alias("start")).distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hot = windows.join(twice, "key").groupBy("id", "at").agg(F.min("j").alias("low"), F.max("j").alias("high"))
     hot = hot.select("id", (F.col("at") - F.col("high")).cast("long").alias("start"), (F.col("at") - F.col("low") + length).cast("long").alias("end"))
-    return staged(merged.unionByName(hot), "repeats-spans")
+    spans = staged(merged.unionByName(hot), "repeats-spans")
+    del merged, windows, twice, hot
+    discard(runs, collect=True)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
@@ -431,13 +443,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, freq
     are texts of their own. An empty table gives no rows.
     """
     rows = numbered(located(docs.select("doc_id", "text"))).select("doc_id", "text", "id")
-    sha = staged(_anchor_rows(rows, length, gram), "repeats-texts")
+    texts = staged(_anchor_rows(rows, length, gram), "repeats-texts")
+    sha = staged(texts.select("id", "n_bytes", "sha"), "repeats-digests")
     # equal texts: one of them stands for all in the sorting
     first = sha.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     unique = first.where("copies = 1").select("id")
-    spans = repeated_spans(rows, sha.join(first.select("id"), "id", "left_semi").select("id", "at", "gram", "left", "right", "around"), length, gram, frequent)
-    spans = spans.join(unique, "id", "left_semi")
-    removed = staged(_removed(rows, spans), "repeats-removed")
+    anchors = texts.select("id", "at", "gram", "left", "right", "around").join(first.select("id"), "id", "left_semi")
+    spans = repeated_spans(rows, anchors, length, gram, frequent, (texts,))
+    removed = staged(_removed(rows, spans.join(unique, "id", "left_semi")), "repeats-removed")
+    del anchors
+    discard(spans, collect=True)
     copied = first.where("copies > 1").select("sha", F.col("copies"))
     out = rows.select("doc_id", "id").join(sha.select("id", "n_bytes", "sha"), "id").join(removed, "id", "left").join(copied, "sha", "left")
     gone = F.col("copies").isNotNull()
