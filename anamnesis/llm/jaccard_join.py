@@ -268,7 +268,7 @@ def links(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
         parts = parts.select(F.xxhash64("region", F.lit(turn), "side").alias("region"), "node", "n", "own", "c", "gap")
         live = parts.groupBy("region").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1 AND low <> high")
         spent, regions = regions, staged(parts.join(live.select("region"), "region", "left_semi"), "jaccard-parts")
-        discard(spent, measured)
+        discard(spent, measured, collect=True)
     if found is not None and not regions.isEmpty():
         cells = regions.groupBy("node").agg(F.collect_set("region").alias("cells"))
         sides = regions.join(cells, "node").join(sets.select("node", "sketch"), "node")

@@ -177,6 +177,42 @@ def _voted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern long")
 
 
+def _features(some: DataFrame, bits: int) -> DataFrame:
+    """(h, doc_id, pattern, index, value) of the texts ``some(doc_id, text, h)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in pieces(batch, "text"):
+                m, word, bounds, _ = measures(data, offsets)
+                index, value = zip(*hashed(m, word, bounds, bits), strict=True)
+                ends = pa.array(np.cumsum([0, *map(len, index)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("h").slice(first, last - first), batch.column("doc_id").slice(first, last - first), pa.array((votes(m) + 1) @ 3 ** np.arange(len(LABELLERS)), pa.int64()),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(index))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(value))),
+                    ],
+                    ["h", "doc_id", "pattern", "index", "value"],
+                )
+
+    own = T.StructType(some.select("h", "doc_id").schema.fields)
+    return some.select("h", "doc_id", "text").mapInArrow(run, own.add("pattern", "long").add("index", T.ArrayType(T.IntegerType())).add("value", T.ArrayType(T.FloatType())))
+
+
+def _weights(sample: DataFrame, belief: dict[int, float], share: float, bits: int) -> np.ndarray:
+    """The scorer fitted in one task to the bounded ``sample`` in its order; only the weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, target = [], []
+        for batch in batches:
+            index, value = ([x.values.to_numpy() for x in batch.column(c)] for c in ("index", "value"))
+            rows += zip(index, value, strict=True)
+            target += [belief.get(p, share) for p in batch.column("pattern").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([fit_scorer(rows, np.array(target), bits).astype(np.float32).tobytes()], pa.binary())], ["weights"])
+
+    found = sample.select("pattern", "index", "value").mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
+
+
 def _unpacked(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
@@ -200,15 +236,10 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, keep
 
     # the least hashes of n rows lie below about train_rows / n; twice that leaves few rows to order
     below = int(min(1.0, 2 * train_rows / max(counts.sum(), 1)) * (1 << 30))
-    some = docs.where((F.length("text") > 0) & (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) <= below))
-    sample = some.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34), "doc_id").limit(train_rows).select("text").toLocalIterator()
-    rows, target = [], []
-    for (text,) in sample:
-        data = np.frombuffer(text.encode(), np.uint8)
-        m, word, bounds, _ = measures(data, np.array([0, len(data)]))
-        rows += hashed(m, word, bounds, bits)
-        target.append(belief.get(int((votes(m) + 1)[0] @ 3 ** np.arange(len(LABELLERS))), share))
-    weights = docs.sparkSession.sparkContext.broadcast(fit_scorer(rows, np.array(target), bits).astype(np.float32))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34)
+    some = docs.where((F.length("text") > 0) & (h <= below)).select("doc_id", "text", h.alias("h"))
+    sample = _features(some, bits).orderBy("h", "doc_id").limit(train_rows)
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(sample, belief, share, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.llm.common import staged, table
+from anamnesis.llm.common import discard, staged, table
 from anamnesis.llm.decontaminate import decontaminate_stage
 from anamnesis.llm.exact_dedup import exact_stage
 from anamnesis.llm.jaccard_join import jaccard_stage
@@ -26,5 +26,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before, collect=True)
     return docs
