@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, located, numbered, staged
@@ -66,13 +66,19 @@ def _sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(values[b] < values[a], b, a)
 
 
+def _upper(hashed: np.ndarray) -> np.ndarray:
+    return hashed >> np.uint64(32)
+
+
 def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(position, k-gram hash, hash to the left, to the right, of all around) of a text's anchors.
+    """(position, k-gram hash, hashes to the left and to the right, hash of all around) of a text's anchors.
 
     A window around an anchor reaches half of its other bytes to the left of
     the k-gram or to the right, so a repeated window has the k-gram with that
-    half repeated; where the text ends before, the hash is 0. The last hash is that
+    half repeated; where the text ends before, the hash is 0. The two stand in one
+    number, the left one above. The last hash is that
     of the bytes that an entry holds, and of how many there are on either side.
+    These tell only anchors of one k-gram apart, so 32 bits each are enough.
     """
     sums, inverse = prefix_sums(data)
     start = np.arange(len(data) - gram + 1)
@@ -81,17 +87,17 @@ def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     half = (length - gram) // 2
     left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     can = at >= half
-    left[can] = span_hash(sums, inverse, at[can] - half, at[can] + gram)
+    left[can] = _upper(span_hash(sums, inverse, at[can] - half, at[can] + gram)) | np.uint64(1)
     can = at + gram + half <= len(data)
-    right[can] = mix(span_hash(sums, inverse, at[can], at[can] + gram + half))
+    right[can] = _upper(mix(span_hash(sums, inverse, at[can], at[can] + gram + half))) | np.uint64(1)
     first, last = np.maximum(at - (length - gram), 0), np.minimum(at + length, len(data))
     ends = ((at - first) << 32 | (last - at)).astype(np.uint64)
-    around = mix(span_hash(sums, inverse, first, last) ^ mix(ends))
-    return at, hashed[at], left, right, around
+    around = _upper(mix(span_hash(sums, inverse, first, last) ^ mix(ends)))
+    return at, hashed[at], left << np.uint64(32) | right, around
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, n_bytes, sha, at, gram, left, right, around): one row per text, anchors as arrays."""
+    """(id, n_bytes, sha, at, gram, sides, around): one row per text, anchors as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +111,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         at.append(anchors_of(text, length, gram))
                     ends.append(ends[-1] + (len(at[-1][0]) if len(text) >= length else 0))
                 ends = pa.array(ends, pa.int32())
-                flat = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0, np.uint64)] * 5
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32) if k == 0 else x.view(np.int64))) for k, x in enumerate(flat)]
+                flat = [np.concatenate(x) for x in zip(*at, strict=True)] if at else [np.empty(0, np.uint64)] * 4
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.uint32).view(np.int32) if k in (0, 3) else x.view(np.int64))) for k, x in enumerate(flat)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(first, last - first), pa.array(size, pa.int64()), pa.array(sha), *lists],
-                    ["id", "n_bytes", "sha", "at", "gram", "left", "right", "around"],
+                    ["id", "n_bytes", "sha", "at", "gram", "sides", "around"],
                 )
 
-    schema = "id long, n_bytes long, sha string, at array<int>, gram array<long>, left array<long>, right array<long>, around array<long>"
+    schema = "id long, n_bytes long, sha string, at array<int>, gram array<long>, sides array<long>, around array<int>"
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
@@ -384,35 +390,39 @@ def _removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _salt() -> Column:
-    return F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")
+    return F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).cast("int")
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The ``rows`` whose ``key`` another row has too; those of one key meet in ``SALTS`` parts only."""
-    rows = rows.withColumn("salt", _salt())
-    parts = rows.groupBy(key, "salt").agg(F.count("*").alias("n"))
-    many = parts.withColumn("f", F.sum("n").over(Window.partitionBy(key))).where("f > 1").select(key, "salt")
-    return rows.join(many, [key, "salt"]).drop("salt")
+    # a key's parts are the bits of one number: a task counts them in one row per key, which is shuffled once
+    counts = rows.withColumn("salt", _salt()).groupBy(key).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("parts"))
+    many = counts.where("n > 1").select(F.col(key).alias("same"), "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    return rows.join(many.where("getbit(parts, part) = 1").select("same", "part"), (F.col(key) == F.col("same")) & (_salt() == F.col("part")), "left_semi")
 
 
-def repeated_spans(docs: DataFrame, anchors: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, anchors: DataFrame, ids: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: int = FREQUENT, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(id, start, end) byte spans covered by repeated windows; they may overlap.
 
-    ``spent`` are staged tables that only ``anchors`` reads; they are used up.
+    Only anchors of the texts in ``ids(id)`` count. ``spent`` are staged tables
+    that only ``anchors`` reads; they are used up.
     """
-    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "left", "right", "around")).alias("a")).select("id", "a.*")
-    again = staged(_repeated(each, "gram"), "repeats-again")
+    each = anchors.select("id", F.explode(F.arrays_zip("at", "gram", "sides", "around")).alias("a")).select("id", "a.*")
+    # rows are shuffled in few bytes: place is the hash of all around, and below it the position
+    each = each.select("id", F.expr("shiftleft(bigint(around), 32) | at").alias("place"), "gram", "sides")
+    again = staged(_repeated(each, "gram").join(ids, "id", "left_semi"), "repeats-again")
     del anchors, each
     discard(*spent, collect=True)
-    keyed = again.select("id", "at", "gram", "around", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
-    keyed = staged(_repeated(keyed, "key").select("id", "at", "gram", "around").distinct(), "repeats-keyed")
+    sides = [F.when(side != 0, F.xxhash64("gram", side, F.lit(k))) for k, side in enumerate((F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))))]
+    keyed = again.select("id", "place", "gram", F.explode(F.array(*sides)).alias("key")).where("key IS NOT NULL")
+    keyed = staged(_repeated(keyed, "key").select("id", "place", "gram").distinct(), "repeats-keyed")
     discard(again, collect=True)
     # equal surroundings are one entry of a run, with its places
-    kinds = keyed.groupBy("gram", "around").agg(F.count("*").alias("n"))
+    kinds = keyed.groupBy("gram", F.shiftright("place", 32).alias("around")).agg(F.count("*").alias("n"))
     often = kinds.groupBy("gram").agg(F.count("*").alias("f"), F.sum("n").alias("n")).where((F.col("f") > frequent) | (F.col("n") > frequent * PLACES))
     often = often.select("gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("often"))
     again = keyed.withColumn("salt", _salt()).join(often, ["gram", "salt"], "left")
-    again = again.select("id", F.struct("at", "gram", F.coalesce("often", F.lit(False)).alias("often")).alias("a"))
+    again = again.select("id", F.struct(F.expr("int(place & 2147483647)").alias("at"), "gram", F.coalesce("often", F.lit(False)).alias("often")).alias("a"))
     found = staged(again.groupBy("id").agg(F.collect_list("a").alias("anchors")), "repeats-anchors")
     del again, kinds, often
     discard(keyed, collect=True)
@@ -448,8 +458,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, freq
     # equal texts: one of them stands for all in the sorting
     first = sha.where(F.col("n_bytes") >= length).groupBy("sha", "n_bytes").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     unique = first.where("copies = 1").select("id")
-    anchors = texts.select("id", "at", "gram", "left", "right", "around").join(first.select("id"), "id", "left_semi")
-    spans = repeated_spans(rows, anchors, length, gram, frequent, (texts,))
+    anchors = texts.select("id", "at", "gram", "sides", "around")
+    spans = repeated_spans(rows, anchors, first.select("id"), length, gram, frequent, (texts,))
     removed = staged(_removed(rows, spans.join(unique, "id", "left_semi")), "repeats-removed")
     del anchors
     discard(spans, collect=True)
