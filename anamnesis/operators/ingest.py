@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # The mark before content in parts, and how much of a conversation a query takes.
 PARTS = "\u0000json:"
 CONTEXT_CHARS, EARLIER_TURNS, EARLIER_CHARS, BEFORE_CHARS = 300, 3, 6_000, 400
+#: White space as DuckDB has it: without Java's vertical tab. ``$`` would also match before a last line break, ``\\z`` does not.
+SPACE = r"[ \t\n\f\r]"
 # The fields that a claim of a kind may have.
 DATED = {"event": ("valid_from", "valid_until"), "state": ("valid_from", "valid_until"), "fact": ("valid_from", "valid_until"), "task": ("due_at",), "recurring": ("valid_from", "valid_until")}
 
@@ -28,9 +30,9 @@ def speaker_prefix(text: Column) -> Column:
 
 
 def cut_back(text: Column, most: int = CONTEXT_CHARS) -> Column:
-    """At most so many characters, a longer text cut back to its last white space."""
+    """At most so many characters, a longer text cut back to its last white space, also where the cut falls right behind a line break."""
     head = F.substring(text, 1, most)
-    return F.when(F.length(text) <= most, text).otherwise(F.when(head.rlike(r"(?s)\s"), F.regexp_replace(head, r"(?s)\s+\S*$", "")).otherwise(head))
+    return F.when(F.length(text) <= most, text).otherwise(F.when(head.rlike(SPACE), F.regexp_replace(head, rf"{SPACE}+[^ \t\n\f\r]*\z", "")).otherwise(head))
 
 
 def conversation_query(message: Column, previous: Column, reply: Column) -> Column:
