@@ -91,6 +91,11 @@ def injection_filter(rows: DataFrame, context: DataFrame, tuning: S.Tuning = S.T
     return rows.where(F.col("value") >= tuning.tau).join(context.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
 
 
+def undated() -> Column:
+    """A fact without a start and an end: no bound of a range lets it in, a range without bounds does not ask."""
+    return (F.col("kind") == "fact") & F.col("valid_from").isNull() & F.col("valid_until").isNull()
+
+
 def happened_span(memories: DataFrame) -> tuple[Column, Column]:
     """When a memory's window holds: from the first instant up to the second, null where it is open.
 
@@ -102,7 +107,7 @@ def happened_span(memories: DataFrame) -> tuple[Column, Column]:
     until_unit = S._column(memories, "valid_until_precision", "day")
     wider = lambda at, unit, n: F.when(low, S.shift(at, unit, zone, n)).otherwise(at)
     point = (F.col("kind") == "fact") & F.col("valid_until").isNull()
-    nowhere = point & start.isNull()
+    nowhere = undated()
     late, early = (F.lit(x).cast("timestamp") for x in ("9999-12-31", "1000-01-01"))
     ends_unit = F.when(F.col("valid_until").isNull(), start_unit).otherwise(until_unit)
     begins = F.when(nowhere, late).otherwise(wider(start, start_unit, -1))
@@ -148,7 +153,8 @@ def happened_in(windows: DataFrame, ranges: DataFrame) -> DataFrame:
     or if it holds the range's start. For the first, each window's beginning stands in one bucket per
     level and a range looks at the level of its own length; for the second, a window stands in the buckets of
     the level of its length, and a range's start looks at one bucket per level. Either side
-    takes at most 17 buckets a level whatever its length, and no pair is met twice.
+    takes at most 17 buckets a level whatever its length, and no pair is met twice. A range open on
+    both sides takes every window, those of ``undated`` facts too; leave them out where it should not.
     """
     bounded = lambda c, far: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.coalesce(S.micros(c), F.lit(far))))
     own = windows.select("memory_id", "bank_id", bounded("begins", -FAR).alias("b"), bounded("ends", FAR).alias("e"))
