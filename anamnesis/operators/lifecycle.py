@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anamnesis.operators.passages import equal_passages
+
 MASK, HORIZON_DAYS = "█", 90
 
 
@@ -112,6 +115,11 @@ class Passages:
         return sorted(set(out))
 
 
+@functools.lru_cache(maxsize=16)
+def _automaton(wanted: tuple[str, ...]) -> Passages:
+    return Passages(wanted)
+
+
 def occurrences(passage: str, text: str) -> list[tuple[int, int]]:
     return Passages([passage]).found(text)
 
@@ -141,19 +149,26 @@ def turn_spans(spans: DataFrame, turns: DataFrame, separator: int = 2) -> DataFr
 def redact_versions(versions: DataFrame, passages: DataFrame, together: int = 4_096) -> DataFrame:
     """(version_id, start, end): where a document's passages stand in its versions.
 
-    ``versions(version_id, document_id, text)``, ``passages(document_id, passage)``. A document's
+    ``versions(version_id, document_id, text)``, ``passages(document_id, passage)``. Passages and
+    versions without a mask meet by hashes, all in one pass over the texts. Where either has masks, a document's
     passages are dealt into automata of about ``together`` characters, and each version is read once by each.
     """
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def find(wanted: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in Passages(w).found(t or "")] for w, t in zip(wanted, text, strict=True)])
+        return pd.Series([[{"start": a, "end": b} for a, b in _automaton(tuple(w)).found(t or "")] for w, t in zip(wanted, text, strict=True)])
+
+    def searched(versions: DataFrame, rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("document_id").agg(F.ceil(F.sum(F.length("passage")) / together).alias("_parts"))
+        automata = rows.join(parts, "document_id").groupBy("document_id", F.pmod(F.xxhash64("passage"), "_parts").alias("_part")).agg(F.collect_list("passage").alias("_wanted"))
+        found = versions.join(automata, "document_id").select("version_id", F.explode(find("_wanted", "text")).alias("s"))
+        return found.select("version_id", "s.start", "s.end")
 
     rows = passages.where("passage <> ''").distinct()
-    parts = rows.groupBy("document_id").agg(F.ceil(F.sum(F.length("passage")) / together).alias("_parts"))
-    automata = rows.join(parts, "document_id").groupBy("document_id", F.pmod(F.xxhash64("passage"), "_parts").alias("_part")).agg(F.collect_list("passage").alias("_wanted"))
-    found = versions.join(automata, "document_id").select("version_id", F.explode(find("_wanted", "text")).alias("s"))
-    return found.select("version_id", "s.start", "s.end").distinct()
+    torn = F.contains("text", F.lit(MASK))
+    plain, masked_ = (rows.where(c) for c in (~F.contains("passage", F.lit(MASK)), F.contains("passage", F.lit(MASK))))
+    found = equal_passages(versions.where(~torn), plain).unionByName(searched(versions.where(torn), rows)).unionByName(searched(versions.where(~torn), masked_))
+    return found.distinct()
 
 
 def delete_orphan_entities(entities: DataFrame, links: DataFrame, speakers: DataFrame, filters: DataFrame) -> DataFrame:
