@@ -34,11 +34,10 @@ def claim_neighbours(claims: DataFrame, memories: DataFrame, vectors: DataFrame,
     up = heads.join(memories.where("NOT retracted").select(F.col("memory_id").alias("head_id")), "head_id", "left_semi")
     near = R.vector_top_k(vectors.join(up, "memory_id"), asked, per_arm, by="head_id")
     near = near.join(claims.select(F.col("claim_id").alias("query_id"), "flagged"), "query_id").where(F.col("flagged") | (F.col("score") >= floor))
-    said = R.bm25_scores(memories, asked).join(up, "memory_id").groupBy("query_id", F.col("head_id").alias("memory_id")).agg(F.max("score").alias("score"))
-    arms = near.select("query_id", "memory_id", "rank").unionByName(R.top_k(said, per_arm).select("query_id", "memory_id", "rank"))
-    fused = R.rrf_fuse(arms)
-    sims = near.select("query_id", "memory_id", F.col("score").alias("similarity"))
-    return fused.where(F.col("rank") <= most).join(sims, ["query_id", "memory_id"], "left").select(F.col("query_id").alias("claim_id"), "memory_id", "similarity", "rank")
+    said = R.bm25_best(memories, asked, up, per_arm)
+    arms = near.select("query_id", "memory_id", "rank", F.col("score").alias("similarity")).unionByName(said.select("query_id", "memory_id", "rank", F.lit(None).cast("double").alias("similarity")))
+    fused = R.rrf_fuse(arms, F.max("similarity").alias("similarity"))
+    return fused.where(F.col("rank") <= most).select(F.col("query_id").alias("claim_id"), "memory_id", "similarity", "rank")
 
 
 def linked_open(claims: DataFrame, claim_entities: DataFrame, links: DataFrame, memories: DataFrame, vectors: DataFrame, most: int = PER_CLAIM, claims_per_block: int = 2_000, rows_per_block: int = 20_000) -> DataFrame:

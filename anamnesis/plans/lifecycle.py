@@ -234,7 +234,7 @@ def _chunked(spark, d):
 
 
 def _neighbours(spark, d):
-    return C.claim_neighbours(_chunked(spark, d), _m(spark, d), _vectors(spark, d), _heads(spark, d), 0.2)
+    return C.claim_neighbours(_chunked(spark, d), _m(spark, d), _vectors(spark, d), _heads(spark, d).checkpoint(), 0.2)
 
 
 @query()
