@@ -22,17 +22,17 @@ BITS, SLAB, ROWS = 26, 1 << 20, 10_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def _spots(keys: np.ndarray) -> np.ndarray:
+def spots_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _spots(keys)
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = spots_of(keys)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -49,18 +49,18 @@ class Slab:
 
     def windows(self, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """(width, a hash for each position that a window begins at); windows may cross texts."""
-        width, h = 1, _mixed(self.codes.astype(np.uint64) + np.uint64(1))
+        width, h = 1, mixed(self.codes.astype(np.uint64) + np.uint64(1))
         while width <= longest and len(h):
             yield width, h
-            h = _mixed(h[:-width] * FACTOR + h[width:])
+            h = mixed(h[:-width] * FACTOR + h[width:])
             width *= 2
 
     def first(self, h: np.ndarray, width: int) -> np.ndarray:
-        return _mixed(h + np.uint64(width))
+        return mixed(h + np.uint64(width))
 
     def whole(self, h: np.ndarray, width: int, at: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
         """Hashes of ``length`` characters at ``at`` in the texts ``of``, with their documents: two windows cover them."""
-        return _mixed(_mixed(h[at] * FACTOR + h[at + length - width]) * FACTOR + self.names[of] + np.uint64(length))
+        return mixed(mixed(h[at] * FACTOR + h[at + length - width]) * FACTOR + self.names[of] + np.uint64(length))
 
 
 def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Slab]]:
@@ -81,11 +81,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of = np.flatnonzero(slab.sizes == length)
                 at = slab.starts[of]
                 kinds += [np.full(len(of), 1), np.full(len(of), 2)]
-                spots += [_spots(slab.first(h[at], width)), _spots(slab.whole(h, width, at, of, length))]
+                spots += [spots_of(slab.first(h[at], width)), spots_of(slab.whole(h, width, at, of, length))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(spots))], ["kind", "spot"])
 
 
-def _maps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def bit_maps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Maps of the bits ``spot`` of ``keys(kind, spot)`` of the kinds 1 and 2, and the different spots of kind 0."""
     bit = F.when(F.col("kind") > 0, F.col("spot") + 1)
     rows = keys.groupBy("kind", F.coalesce(F.bitmap_bucket_number(bit), "spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     maps, lengths = np.zeros((2, 1 << (BITS - 3)), np.uint8), []
@@ -104,19 +105,19 @@ def equal_passages(versions: DataFrame, passages: DataFrame) -> DataFrame:
     """
     document = F.col("document_id").cast("string")
     keys = passages.where(document.isNotNull()).select(F.lit(0).alias("id"), document, "passage").mapInArrow(_keys, "kind long, spot long")
-    held = versions.sparkSession.sparkContext.broadcast(_maps(keys))
+    held = versions.sparkSession.sparkContext.broadcast(bit_maps(keys))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, whole, lengths = held.value
         for ids, slab in _slabs(batches):
             for width, h in slab.windows(lengths[-1] if lengths else 0):
                 some = [n for n in lengths if width <= n < 2 * width]
-                at = np.flatnonzero(_marked(first, slab.first(h, width))) if some else np.empty(0, np.int64)
+                at = np.flatnonzero(marked(first, slab.first(h, width))) if some else np.empty(0, np.int64)
                 of = np.searchsorted(slab.ends, at, "right")
                 for length in some:
                     inside = at + length <= slab.ends[of]
                     x, y = at[inside], of[inside]
-                    hit = _marked(whole, slab.whole(h, width, x, y, length))
+                    hit = marked(whole, slab.whole(h, width, x, y, length))
                     x, y = (x - slab.starts[y])[hit].tolist(), y[hit].tolist()
                     for k in range(0, len(x), ROWS):
                         rows = [(ids[t], slab.documents[t], a, a + length, p) for a, t in zip(x[k : k + ROWS], y[k : k + ROWS], strict=True) if not (p := slab.texts[t][a : a + length]).isspace()]

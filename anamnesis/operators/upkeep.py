@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from anamnesis.operators.passages import FACTOR, bit_maps, marked, mixed, spots_of
 from anamnesis.operators.recall import tokens
 from anamnesis.operators.strength import TUNING, Tuning, band
 
@@ -33,24 +40,71 @@ def corroborate_used(accesses: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.join(first, "head_id", "left").withColumn("state", F.when(held, "pending").otherwise("counted")).drop("_first")
 
 
-def _pairs(words: Column) -> Column:
-    """Neighbouring words, as phrases of two."""
-    return F.transform(F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+def _key_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = pc.split_pattern(batch.column(0), " ")
+        h, size = _word_hashes(words.flatten()), words.value_lengths().to_numpy()
+        first = np.cumsum(size) - size
+        keys = np.where(size > 1, mixed(h[first] * FACTOR + h[first + size - 1]), h[first])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int64)), pa.array(spots_of(mixed(keys)))], ["kind", "spot"])
 
 
-def phrases_found(passages: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFrame:
+def _keys_said(passages: DataFrame, keys: DataFrame, scope: list[str]) -> DataFrame:
+    """(passage_id, *scope, key): the words and pairs of neighbouring words of ``passages(passage_id, *scope, words)``, each once, that can be among ``keys(key)``.
+
+    A map of hashed bits, of fixed size, keeps out the others where the text is, before anything is
+    shuffled; it lets some through that are no key.
+    """
+    held = passages.sparkSession.sparkContext.broadcast(bit_maps(keys.select("key").distinct().mapInArrow(_key_spots, "kind long, spot long"))[0])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            words, code, row = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+            known = _word_hashes(words)
+            one = np.unique((row * len(words) + code)[marked(held.value, mixed(known))[code]])
+            h = known[code]
+            two = np.flatnonzero((row[1:] == row[:-1]) & marked(held.value, mixed(mixed(h[:-1] * FACTOR + h[1:]))))
+            pair, back = np.unique(row[two] * len(words) + code[two], return_inverse=True)
+            both = np.unique(back * len(words) + code[two + 1])
+            left, right = pair[both // len(words)], both % len(words)
+            said = [words.take(pa.array(one % len(words))), pc.binary_join_element_wise(words.take(pa.array(left % len(words))), words.take(pa.array(right)), " ")]
+            at = pa.array(np.concatenate((one, left)) // len(words))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(batch.num_columns - 1)), pa.concat_arrays([x.cast(pa.string()) for x in said])], [*batch.schema.names[:-1], "key"])
+
+    rows = passages.select("passage_id", *scope, "words")
+    return rows.mapInArrow(found, rows.select("passage_id", *scope, F.lit("").alias("key")).schema)
+
+
+def phrases_found(passages: DataFrame, aliases: DataFrame, scope: list[str], salts: int = 8) -> DataFrame:
     """(passage_id, entity_id): where ``aliases(.., words)`` stand in ``passages(.., words)`` as whole words, within the columns ``scope``.
 
     They meet by the alias's first two words, or its one; only longer aliases are
-    verified against the passage, which is joined again for that.
+    verified against the passage, which is joined again for that. What is found is told apart by
+    passage and key before they meet, so only entities of several aliases need it of their pairs.
     """
-    said = passages.select("passage_id", *scope, F.explode(F.array_distinct(F.concat("words", _pairs(F.col("words"))))).alias("key"))
     called = aliases.where(F.size("words") > 0).select("entity_id", *scope, "words", F.array_join(F.slice("words", 1, 2), " ").alias("key")).distinct()
-    hits = said.join(called, [*scope, "key"]).select("passage_id", "entity_id", "words").distinct()
+    several = called.groupBy("entity_id").agg((F.count("*") > 1).alias("_several"))
+    called = called.join(several, "entity_id").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    said = _keys_said(passages, called, scope).withColumn("_salt", F.pmod(F.xxhash64("passage_id"), F.lit(salts)))
+    said = said.repartition(*scope, "key", "_salt").distinct()
+    short, long = F.size("words") <= 2, F.size("words") > 2
+    met = lambda rows: said.join(rows, [*scope, "key", "_salt"])
+    single = met(called.where(short & ~F.col("_several"))).select("passage_id", "entity_id")
+    repeated = met(called.where(short & F.col("_several"))).select("passage_id", "entity_id")
     spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     texts = passages.select("passage_id", spaced(F.col("words")).alias("said"))
-    longer = hits.where(F.size("words") > 2).join(texts, "passage_id").where(F.contains(F.col("said"), spaced(F.col("words"))))
-    return hits.where(F.size("words") <= 2).select("passage_id", "entity_id").union(longer.select("passage_id", "entity_id")).distinct()
+    longer = met(called.where(long)).select("passage_id", "entity_id", "words").join(texts, "passage_id").where(F.contains(F.col("said"), spaced(F.col("words"))))
+    rest = repeated.unionByName(longer.select("passage_id", "entity_id")).distinct()
+    return single.unionByName(rest)
 
 
 def entities_named(passages: DataFrame, aliases: DataFrame) -> DataFrame:
